@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality
+from . import decontamination, ngram_join, quality, substring_dedup
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.query,
     "op3_benchmark_decontamination": decontamination.query,
+    "op5_substring_dedup": substring_dedup.query,
     "op8_quality_rules": quality.query,
 }
 
 ORACLES = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op3_benchmark_decontamination": decontamination.ORACLE,
+    "op5_substring_dedup": substring_dedup.ORACLE,
 }
