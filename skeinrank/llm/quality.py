@@ -152,9 +152,9 @@ def thresholds(measured: DataFrame) -> DataFrame:
     a, b, c = fences(own, ("lang", "source")), fences(by_lang, ("lang",)), fences(whole, ())
     names = [f"{m}_fence" for m in FLOOR]
     b = b.select(F.col("lang").alias("b_lang"), F.col("n").alias("b_n"), *(F.col(x).alias(f"b_{x}") for x in names))
-    c = c.select(*(F.col(x).alias(f"c_{x}") for x in names))
-    joined = a.join(b, F.col("lang").eqNullSafe(F.col("b_lang"))).join(F.broadcast(c))
-    pick = lambda x: F.when(F.col("n") >= LEAST_GROUP, F.col(x)).when(F.col("b_n") >= LEAST_GROUP, F.col(f"b_{x}")).otherwise(F.col(f"c_{x}"))
+    whole_fence = c.first()  # one row, or none for an empty table
+    joined = a.join(b, F.col("lang").eqNullSafe(F.col("b_lang")))
+    pick = lambda x: F.when(F.col("n") >= LEAST_GROUP, F.col(x)).when(F.col("b_n") >= LEAST_GROUP, F.col(f"b_{x}")).otherwise(F.lit(whole_fence[x] if whole_fence else None))
     return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *(pick(x).alias(x) for x in names))
 
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontamination, ngram_join, quality, substring_dedup
+from . import decontamination, ngram_join, quality, secrets, substring_dedup, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op3_benchmark_decontamination": decontamination.query,
     "op5_substring_dedup": substring_dedup.query,
+    "op7_secret_scan": secrets.query,
     "op8_quality_rules": quality.query,
+    "op9_warc_transactions": warc.query,
 }
 
 ORACLES = {
     "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op3_benchmark_decontamination": decontamination.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
+    "op9_warc_transactions": warc.ORACLE,
 }
