@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, ngram_join, quality, secrets, substring_dedup, warc
+from . import decontamination, ngram_join, packing, pii, quality, secrets, substring_dedup, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op3_benchmark_decontamination": decontamination.query,
     "op5_substring_dedup": substring_dedup.query,
+    "op6_pii_skip_chain": pii.query,
     "op7_secret_scan": secrets.query,
     "op8_quality_rules": quality.query,
     "op9_warc_transactions": warc.query,
+    "op10_cutting_stock_packing": packing.query,
 }
 
 ORACLES = {
