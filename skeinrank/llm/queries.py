@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, ngram_join, packing, pii, quality, secrets, substring_dedup, warc
+from . import decontamination, html_text, ngram_join, packing, pii, quality, secrets, substring_dedup, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op3_benchmark_decontamination": decontamination.query,
+    "op4_html_extraction": html_text.query,
     "op5_substring_dedup": substring_dedup.query,
     "op6_pii_skip_chain": pii.query,
     "op7_secret_scan": secrets.query,
