@@ -182,6 +182,23 @@ def scan(
     return merged.select("doc_id", "n_words", F.expr(union).alias("ranges"), "items", "spans")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows (all columns) whose text holds no window of any benchmark item; map-only."""
+    schema, where = docs.schema, docs.schema.fieldNames().index(text_col)
+    for items in item_blocks(benchmark, item_col, item_text_col):
+        key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
+        shared = docs.sparkSession.sparkContext.broadcast((key, items, window))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton, patterns = _automaton(shared.value)
+            for batch in batches:
+                clean = [not match_words(words_of(t.as_py()), automaton, patterns)[1] for t in batch.column(where)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from :func:`scan`'s."""
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, ngram_join, packing, pii, quality, secrets, substring_dedup, warc
+from . import decontamination, html_text, licenses, ngram_join, packing, pii, quality, secrets, substring_dedup, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
+    "op2_license_rules": licenses.query,
     "op3_benchmark_decontamination": decontamination.query,
     "op4_html_extraction": html_text.query,
     "op5_substring_dedup": substring_dedup.query,
