@@ -3,7 +3,7 @@
 Each capture becomes three records: request, response (or revisit) and metadata, tied together by
 WARC-Concurrent-To.  Archives are written by Spark's own text writer with the records' terminator as
 line separator, so they go to any store that Spark can write and bytes pass through unchanged; they are
-read with the ``binaryFile`` source.  Payloads equal to an earlier response's (by SHA-256, of
+read with the ``binaryFile`` source (gzip-compressed or plain).  Payloads equal to an earlier response's (by SHA-256, of
 ``least`` bytes or more) become revisits without a body.
 
 Edge cases: null html is an empty payload; null urls are written as ``urn:none``; payloads may hold any
@@ -15,6 +15,7 @@ archive and result.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -77,8 +78,8 @@ def records(planned: DataFrame) -> DataFrame:
 
 
 def write(planned: DataFrame, path: str, per_file: int = PER_FILE) -> None:
-    """Archives of ``per_file`` captures at most."""
-    records(planned).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    """Compressed archives of ``per_file`` captures at most."""
+    records(planned).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 RECORD = "record_id string, kind string, uri string, date string, concurrent_to string, refers_to string, declared_digest string, fields string, payload_bytes long, payload_digest string, payload binary"
@@ -118,7 +119,8 @@ def _reader(with_payload: bool):
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for h, body in parse(content.as_py()):
+                data = content.as_py()
+                for h, body in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     kind, size, digest, payload, fields = h.get("warc-type"), None, None, None, None
                     if kind == "response":
                         whole = bytes(body)
