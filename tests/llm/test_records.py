@@ -1,0 +1,264 @@
+import base64
+import hashlib
+import json
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from skeinrank.llm import html_text, licenses, pii, quality, secrets, warc
+
+from corpora import documents, frame
+
+
+# ---- quality
+
+def brute_counts(text):
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    repeat = {i + j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(3)}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(repeat)
+
+
+def test_quality_counts_and_verdict(spark):
+    rows = documents(7) + [(500, "a line\nb\n\n a line\na line\nb \nb"), (501, "#x & <y> | %% $$ * " * 40), (502, "wörd é\n" * 60)]
+    got = {r["doc_id"]: r for r in quality.judge(frame(spark, rows)).collect()}
+    for i, t in rows:
+        want = brute_counts(t)
+        assert tuple(got[i][c] for c in quality.COUNTS[:5]) == want, (i, t)
+        assert got[i]["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (got[i]["base_failed"] and got[i]["kept"])
+    assert not got[501]["kept"] and quality.judge(frame(spark, []).where("false")).count() == 0
+
+
+def test_sketches_merge_and_bound_the_error(spark):
+    r = random.Random(3)
+    values = [r.lognormvariate(0, 1) for _ in range(2000)]
+    df = spark.createDataFrame([("a" if i % 3 else "b", v) for i, v in enumerate(values)], "g string, symbol_ratio double")
+    whole = quality.sketch(df, (), ("symbol_ratio",))
+    parts = quality.merge(quality.sketch(df, ("g",), ("symbol_ratio",)), ())
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+    counts = sorted((x["bucket"], x["n"]) for x in whole.collect())
+    for p in (0.25, 0.5, 0.75):
+        run = 0
+        for b, n in counts:
+            run += n
+            if run >= p * len(values):
+                break
+        found = quality.LEAST * quality.GAMMA**b * 2 / (1 + quality.GAMMA)
+        assert found == pytest.approx(sorted(values)[int(p * len(values)) - 1], rel=2.1 * quality.ACCURACY)
+
+
+def test_thresholds_follow_their_group(spark, monkeypatch):
+    """The same table is normal in a source of tables and an outlier elsewhere."""
+    monkeypatch.setattr(quality, "LEAST_GROUP", 20)
+    r = random.Random(1)
+    text = lambda k: " ".join(f"w{r.randrange(10**6)}" + ("|" if j % 3 == 0 and k else "") for j in range(80))
+    rows = [(i, text(1), "en", "tables", 0) for i in range(60)] + [(100 + i, text(i == 0), "en", "prose", 0) for i in range(60)]
+    got = {x["doc_id"]: x["kept"] for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert all(got[i] for i in range(60)) and not got[100] and all(got[100 + i] for i in range(1, 60))
+
+
+# ---- personal data
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_pii(text):
+    digits = lambda s: re.sub(r"[^0-9]", "", s)
+    def luhn(d):
+        return sum(sum(map(int, str(int(c) * (1 + i % 2)))) for i, c in enumerate(reversed(d))) % 10 == 0
+    fits = {"email": lambda s: True, "ip": lambda s: all(int(x) <= 255 for x in s.split(".")), "card": lambda s: 13 <= len(digits(s)) <= 19 and luhn(digits(s)), "phone": lambda s: 9 <= len(digits(s)) <= 15}
+    return [(k, *m.span()) for k, p in BASE.items() for m in re.finditer(p, text) if fits[k](m[0])]
+
+
+def test_base_patterns_equal_plain_regexes():
+    r = random.Random(2)
+    bits = ["a", "b.c", "@", "@@", "x@y.z", ".", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111111111111111", "-", " ", "+1 (017) 555-7713", "+", "12", "0", "é", "_", "%", ".com", "0.0.0.0", "\n", "5500-0000-0000-0004", "+44"]
+    for _ in range(3000):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(12)))
+        assert pii.base_spans(text) == brute_pii(text), text
+
+
+def test_field_finds_partial_repeats_on_held_out_sentences():
+    r, model, hit, missed, wrong = random.Random(77), pii.trained(), 0, 0, 0
+    for _ in range(300):
+        text, marks = pii._sentence(r)
+        (base, every), = pii.spans_of([text], model)
+        assert set(base) <= set(every)
+        added = [x for x in every if x not in base]
+        truth = [(pii.LABELS[k], s, e) for s, e, k in marks if k and not any(a < e and s < b for _, a, b in base)]
+        found = {t for t in truth if any(k == t[0] and a < t[2] and t[1] < b for k, a, b in added)}
+        hit, missed, wrong = hit + len(found), missed + len(truth) - len(found), wrong + sum(not any(k == t[0] and a < t[2] and t[1] < b for t in truth) for k, a, b in added)
+    assert hit / (hit + missed) > 0.95 and wrong / max(1, hit + wrong) < 0.03
+
+
+def test_labels_agree_across_a_document():
+    text = "Ring (017) 555-7713 first. " + "filler " * 300 + "It is +1 (017) 555-7713 in full."
+    (base, every), = pii.spans_of([text], pii.trained())
+    assert [text[a:b] for _, a, b in base] == ["+1 (017) 555-7713"] and "(017) 555-7713" in [text[a:b] for _, a, b in every]
+    assert pii.spans_of(["(017) 555-7713 in 2019, version 2.0"], pii.trained()) == [([], [])]
+
+
+def test_annotate_and_redact(spark):
+    rows = [(1, None), (2, ""), (3, "é write to a.b@c.de or +1 (017) 555-7713"), (4, "no data"), (4, "10.0.0.1 " * 3), (None, "x@y.zz")]
+    df = frame_nullable(spark, rows)
+    for r in pii.annotate(df).collect():
+        text = next(t for i, t in rows if i == r["doc_id"] and (i != 4 or (r["n_ip"] > 0) == ("10" in t)))
+        base = brute_pii(text or "")
+        assert r["base_sha256"] == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in base) for k in pii.KINDS]
+    out = pii.redact(df)
+    assert out.schema == df.schema
+    texts = [r["text"] for r in out.collect()]
+    assert "é write to [EMAIL] or [PHONE]" in texts and "no data" in texts and None in texts and out.count() == len(rows)
+
+
+def frame_nullable(spark, rows):
+    return spark.createDataFrame([(i, t, "x", "spans") for i, t in rows], "doc_id long, text string, n_email string, spans string")
+
+
+# ---- secrets
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x80 | (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")) + body
+
+
+def integers(r, sizes):
+    return [der(2, bytes([1 + r.randrange(126)]) + r.randbytes(n - 1)) for n in sizes]
+
+
+def test_confirmed_structures():
+    r = random.Random(4)
+    rsa = der(0x30, der(2, b"\0"), *integers(r, (128, 3, 128, 64, 64, 64, 64, 64)))
+    oid = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01"), der(5))
+    pkcs8, spki = der(0x30, der(2, b"\0"), oid, der(4, rsa)), der(0x30, oid, der(3, b"\0" + der(0x30, *integers(r, (128, 3)))))
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", r.randbytes(32)))
+    b64 = lambda x: base64.b64encode(x).decode()
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()).decode().rstrip("=")
+    token = f"{head}.{base64.urlsafe_b64encode(b'{}abc').decode().rstrip('=')}.{base64.urlsafe_b64encode(r.randbytes(32)).decode().rstrip('=')}"
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", b64(rsa))) + "\n-----END RSA PRIVATE KEY-----"
+    for kind, value in (("der", b64(rsa)), ("der", b64(pkcs8)), ("der", b64(spki)), ("der", rsa.hex()), ("der", rsa.hex().upper()), ("ssh", b64(ssh)), ("jwt", token), ("pem", pem)):
+        text = f"é start {value} end"
+        assert [(k, text[a:b]) for k, a, b in secrets.confirmed(text)] == [(kind, value)]
+        broken = value[:40] + ("A" if value[40] != "A" else "B") * 3 + value[43:] if kind != "jwt" else value.replace("ey", "fy", 1)
+        if kind in ("jwt",):
+            assert not secrets.confirmed(f"x {broken} y")
+    assert not secrets.confirmed(b64(rsa[:-1]) + " " + b64(r.randbytes(120)) + " " + r.randbytes(40).hex())
+
+
+def brute_secrets(text):
+    out = [("assign", *m.span()) for m in re.finditer(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 8]
+    out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+def test_secret_scan(spark):
+    r = random.Random(5)
+    bits = ["password", "Token", "API_KEY", "apikey", "=", ": ", '"', "'", "  ", "abcdefgh", "0123456789abcdef" * 2, "AKIA", "ABCDEFGH1234", "x", "é", "\n", "secret", "-", "deadbeef"]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randrange(14)))) for i in range(600)] + [(700, None), (701, "")]
+    got = {x["doc_id"]: x for x in secrets.scan(frame(spark, rows)).collect()}
+    for i, t in rows:
+        base = brute_secrets(t or "")
+        assert got[i]["base_sha256"] == hashlib.sha256(secrets.joined(base).encode()).hexdigest(), t
+        assert [got[i][f"n_{k}"] for k in secrets.BASE_KINDS] == [sum(x[0] == k for x in base) for k in secrets.BASE_KINDS]
+        assert set(secrets.joined(base).split(",")) <= set(got[i]["spans"].split(",")) or not base
+
+
+# ---- licences
+
+def test_license_rules(spark):
+    full = 'Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file except in compliance\n// with the License. You may obtain a copy of the License at\n//    http://www.apache.org/licenses/LICENSE-2.0\n'
+    rows = [(1, full), (2, "x\nReleased under the MIT License.\ny"), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "Licensed under CC BY-NC 4.0."), (5, "the license plate"),
+            (6, None), (7, "It is licensed under the Foo License"), (8, "Licence: none. Licenced under the MIT license. MIT")]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {1: "Apache-2.0", 2: "MIT", 3: "GPL-3.0-only", 4: "CC-BY-NC-4.0", 5: "", 6: "", 7: "unknown-notice", 8: "unknown-notice"}
+    assert licenses.scan_text(full)[0][3] == 3
+    found = [(k, None, i, i + 1) for i, k in enumerate(("apache-under", "gpl-under", "apache-comply", "apache-obtain", "mit-grant", "mit-notice"))]
+    assert [x[0] for x in licenses.match_rules(found)] == ["Apache-2.0", "GPL-any-only"]
+
+
+# ---- pages
+
+PAGE = "<html><head><title>t</title><style>p{{}}</style></head><body><div>Site name</div><div>{a}</div><p>{b}</p><div>Legal text of the site</div></body></html>"
+
+
+def test_shared_lines_of_neighbours_go(spark):
+    rows = [(k, f"https://h.example/{d}/{k}", PAGE.format(a=f"Head {k}", b=f"Body {k} &amp; more {'x' * 40}")) for k, d in enumerate("aabbcc")]
+    rows += [(10, "https://alone.example/", PAGE.format(a="A", b="B")), (11, None, None), (12, "nonsense", ""), (13, "https://art.example/1", "<article><h1>T</h1><p>Same</p></article><nav>n</nav>"), (14, "https://art.example/2", "<article><h1>T</h1><p>Same</p></article><footer>f</footer>")]
+    rows += [(20, "https://copy.example/1", PAGE.format(a="Copy", b="Copied body text " * 9)), (21, "https://copy.example/2", PAGE.format(a="Copy", b="Copied body text " * 9))]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, text string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    for k in range(6):
+        assert got[k] == f"Head {k}\nBody {k} & more {'x' * 40}"
+    assert got[10] == "Site name\nA\nB\nLegal text of the site" and got[11] == got[12] == "" and got[13] == got[14] == "T\nSame"
+    assert "Copied body text" in got[20] and got[20] == got[21]
+    again = {r["page_id"]: r["text"] for r in html_text.extract(df.repartition(7)).collect()}
+    assert again == got and html_text.extract(df.where("false")).count() == 0
+
+
+def test_longest_common_subsequence():
+    r = random.Random(1)
+    for _ in range(300):
+        a, b = ([r.randrange(4) for _ in range(r.randrange(9))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert len(html_text.shared_lines(a, b)) == table[-1][-1]
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p>a<p>b &lt;x&gt;&nbsp;c\n d", "a\nb <x> c d"),
+    ("<body><script>if (a < b) { x = '</p>' }</script><!-- <p>no</p> --><p>yes</p>", "yes"),
+    ("<nav><ul><li>no</ul></nav><article><header><h1>T</h1></header><p>x<aside>no</aside><p>y</article><div class='comments'>no</div>", "T\nx\ny"),
+    ("<div class='site-header'>no</div><main><p>in <b>bold</b></p><form><input>no</form></main><footer>no", "in bold"),
+    ("<div class=\"ad\">no<div>no</div></div><div id='cookieNotice'>no</div><div class='shadow'>yes</div>", "yes"),
+    ("plain text", "plain text"), ("", ""), ("<p hidden>no</p><p style='display: none'>no</p>ok", "ok"), ("<a title='x>y'>z</a", "z</a"),
+])
+def test_structure(page, text):
+    assert html_text.main_text(page, []) == text
+
+
+# ---- archives
+
+def test_warc_round_trip(spark, tmp_path):
+    same = "<html>" + "é" * 80
+    rows = [(5, "http://a/1", same), (3, "http://a/2", same), (9, None, same), (1, "http://b/", "short"), (2, "http://b/2", "short"), (4, "http://c/\r\nX: y", None), (6, "u", "WARC/1.0\r\n\r\nContent-Length: 3\r\n\r\n" * 9), (7, "u", ""), (-8, "u", "x" * 200_000)]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, payload string")
+    warc.write(warc.plan_revisits(df), str(tmp_path / "w"), per_file=2)
+    assembled = warc.assemble(warc.read(spark, str(tmp_path / "w")))
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.captures(assembled).collect()}
+    want = {}
+    for i, _, h in rows:
+        p = (h or "").encode()
+        first = min(k for k, _, x in rows if (x or "").encode() == p)
+        again = len(p) >= 100 and first != i
+        want[i] = (len(p), hashlib.sha256(p).hexdigest(), "revisit" if again else "response", first if again else None)
+    assert got == want
+    payloads = {r["response"]["record_id"]: r["response"]["payload"] for r in assembled.collect() if r["response"]["kind"] == "response"}
+    assert bytes(payloads["urn:capture:response:6"]).decode() == rows[6][2]
+    assert all(r["request"] is not None and r["metadata"] is not None for r in assembled.collect())
+    parts = warc.read(spark, str(tmp_path / "w")).where("kind <> 'metadata'")
+    assert warc.assemble(parts).where("metadata is null and request is not null").count() == len(rows)
+
+
+def test_cut_off_archives_are_errors():
+    good = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert [bytes(b) for _, b in warc.parse(good + good)] == [b"abc", b"abc"]
+    for bad in (good[:-6], b"junk" + good):
+        with pytest.raises(ValueError):
+            list(warc.parse(bad))
