@@ -258,7 +258,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
     except np.linalg.LinAlgError:
         sound = False
     if not sound:  # small demands can make the greedy columns ill-conditioned: start from copies of one size
-        basis = np.diag((capacity // sizes).astype(float))
+        basis, most = np.diag((capacity // sizes).astype(float)), most // 5  # such a problem is mostly rounding, done greedily
         inverse = np.linalg.inv(basis)
     x, last = inverse @ demand, basis.copy()
     for k in range(most):
