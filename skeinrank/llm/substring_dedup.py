@@ -227,8 +227,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     picked = _picked(docs, id_col, text_col)
     n = partitions(docs.sparkSession)
     runs = picked.mapInArrow(_runs(2 * n, window), KEYED)
-    repeated = runs.groupBy("key").applyInArrow(_match(4 * n), KEYED)
-    return _finish(picked, repeated, 4 * n, window, digest)
+    repeated = runs.groupBy("key").applyInArrow(_match(n), KEYED)
+    return _finish(picked, repeated, n, window, digest)
 
 
 class FingerprintIndex:
@@ -254,7 +254,7 @@ class FingerprintIndex:
 
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
         picked = _picked(docs, id_col, text_col)
-        groups = 4 * partitions(self.spark)
+        groups = partitions(self.spark)
         run = self.ws.save(picked.mapInArrow(_runs(self.ranges, self.window), KEYED).groupBy("key").applyInArrow(_sorted_run, KEYED), "level0")
         repeated = run.groupBy("key").cogroup(self.history().groupBy("key")).applyInArrow(_match_history(groups), KEYED)
         result = self.ws.save(_finish(picked, repeated, groups, self.window, digest), "result")
