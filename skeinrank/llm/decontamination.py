@@ -112,14 +112,16 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[li
         yield [(r["item"], r["text"]) for r in part.collect()]
 
 
+_BUILT: dict[str, tuple] = {}
+
+
 def _automaton(shared) -> tuple:
     """Built once per Python worker and block; the broadcast only carries the items."""
-    key = shared[0]
-    cache = ahocorasick.__dict__.setdefault("_built", {})
-    if key not in cache:
-        cache.clear()
-        cache[key] = build_automaton(shared[1], shared[2])
-    return cache[key]
+    key, items, window = shared
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = build_automaton(items, window)
+    return _BUILT[key]
 
 
 def _scan_block(docs: DataFrame, items: list[tuple[int, str]], window: int, id_col: str, text_col: str, with_spans: bool) -> DataFrame:
