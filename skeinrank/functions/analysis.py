@@ -6,10 +6,10 @@ stemming is a Pandas UDF that stems each distinct word of a batch once.  Registe
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -36,7 +36,8 @@ def with_stop_words(stop: frozenset[str]) -> Analyzer:
     return lambda text: F.filter(simple(text), lambda w: ~F.array_contains(F.array(*map(F.lit, listed)), w))
 
 
-_WORDS = re.compile(r"[^\W_]+(?:-[^\W_]+)+|[^\W_]+")
+_WORDS = regex.compile(HYPHENATED)
+_SIMPLE = regex.compile(WORD)
 
 
 def english_terms(text: str, memory: dict[str, str | None]) -> list[str]:
@@ -65,8 +66,17 @@ def english(text: Column) -> Column:
 ANALYZERS: dict[str, Analyzer] = {"simple": simple, "english": english, "english_stop": with_stop_words(stemmer.ENGLISH_STOP)}
 
 
+#: The same analyses of a text that the caller holds, so that a single search needs no job for its query.
+LITERAL: dict[str, Callable[[str], list[str]]] = {
+    "simple": lambda text: [w for w in _SIMPLE.findall(text.lower()) if len(w) <= MAX_TERM],
+    "english": lambda text: english_terms(text, {}),
+    "english_stop": lambda text: [w for w in _SIMPLE.findall(text.lower()) if len(w) <= MAX_TERM and w not in stemmer.ENGLISH_STOP],
+}
+
+
 def register(name: str, analyzer: Analyzer) -> None:
     ANALYZERS[name] = analyzer
+    LITERAL.pop(name, None)
 
 
 def analyzer(name: str) -> Analyzer:

@@ -53,11 +53,12 @@ def doc_length() -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of an index; ``spec`` says how they were made."""
+    """Tables of an index; ``spec`` says how they were made, ``totals`` are (documents, tokens) where they are known."""
 
     spec: IndexSpec
     postings: DataFrame
     doc_stats: DataFrame
+    totals: tuple[int, int] | None = None
 
     @property
     def scopes(self) -> list[str]:
@@ -84,18 +85,19 @@ class Index:
         parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.postings.repartitionByRange(parts, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-        spark.createDataFrame([(json.dumps(asdict(self.spec)),)], "spec string").coalesce(1).write.mode("overwrite").json(f"{path}/index_meta")
+        row = Index(self.spec, self.postings, spark.read.parquet(f"{path}/doc_stats")).corpus_stats.first()
+        spark.createDataFrame([(json.dumps(asdict(self.spec)), row["n"], row["total_len"])], "spec string, n long, total_len long").coalesce(1).write.mode("overwrite").json(f"{path}/index_meta")
         return load(spark, path)
 
     def restricted(self, live: DataFrame) -> Index:
         """The index over live documents only (statistics follow)."""
         ids = live.select(F.col(self.spec.id_column).alias("doc_id")).distinct()
-        return replace(self, postings=self.postings.join(ids, "doc_id", "left_semi"), doc_stats=self.doc_stats.join(ids, "doc_id", "left_semi"))
+        return replace(self, postings=self.postings.join(ids, "doc_id", "left_semi"), doc_stats=self.doc_stats.join(ids, "doc_id", "left_semi"), totals=None)
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    spec = IndexSpec(**json.loads(spark.read.json(f"{path}/index_meta").first()["spec"]))
-    return Index(spec, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"))
+    meta = spark.read.schema("spec string, n long, total_len long").json(f"{path}/index_meta").first()
+    return Index(IndexSpec(**json.loads(meta["spec"])), spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"), (meta["n"], meta["total_len"]))
 
 
 def analyzed(df: DataFrame, spec: IndexSpec) -> DataFrame:

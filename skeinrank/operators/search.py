@@ -10,12 +10,13 @@ same filtered postings.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.analysis import analyzer
+from ..functions.analysis import LITERAL, analyzer
 from ..functions.scoring import DIGITS, idf, operator_value, term_weight
 from ..types import Bm25Query
 from .index import TENANT, Index
@@ -34,9 +35,15 @@ def query_terms(queries: DataFrame, config: str | None, text_col: str = "query_t
 def _literal_terms(index: Index, texts: Iterable[tuple[int, str]], language: str | None) -> DataFrame:
     """Terms of queries that the caller holds; analysed once, so plans carry literals."""
     spark = index.postings.sparkSession
-    rows = spark.createDataFrame(list(texts), "query_id long, query_text string")
-    found = query_terms(rows, language or index.spec.text_config or "english").collect()  # the caller's own query texts
-    terms = spark.createDataFrame([tuple(r) for r in found], "query_id long, term string, qf int")
+    config = language or index.spec.text_config or "english"
+    analyzer(config)
+    literal = LITERAL.get(config.rpartition(".")[2])
+    if literal is not None and all(t.isascii() for _, t in texts):
+        found = [(q, t, n) for q, text in texts for t, n in Counter(literal(text)).items()]
+    else:  # own analyzers, and letters whose lower case may differ between runtimes
+        rows = spark.createDataFrame(list(texts), "query_id long, query_text string")
+        found = [tuple(r) for r in query_terms(rows, config).collect()]  # the caller's own query texts
+    terms = spark.createDataFrame(found, "query_id long, term string, qf int")
     return F.broadcast(terms) if len(found) <= BROADCAST_ROWS else terms
 
 
@@ -50,6 +57,9 @@ def score_postings(index: Index, terms: DataFrame, scope: list[str] | None = Non
     corpus = stats.stats_by(keys)
     if keys:
         df = df.join(corpus, keys)
+    elif stats.totals is not None:
+        n, total = stats.totals
+        df = df.withColumns({"n": F.lit(n), "avgdl": F.lit(total / n if n else 0.0)})
     else:  # one row of statistics for all terms
         df = df.withColumn("whole", F.lit(True)).join(F.broadcast(corpus.withColumn("whole", F.lit(True))), "whole")
     weighted = df.select(*keys, "term", idf(F.col("df"), F.col("n")).alias("idf"), "avgdl")

@@ -19,6 +19,7 @@ from ..operators.search import more_like_this, ranked, score, score_postings, se
 from ..operators.search import _literal_terms as literal_terms
 from ..sources.tables import page_text, table
 from ..types import IndexSpec
+from .sql_surface import register
 
 Query = Callable[[SparkSession, str], DataFrame]
 DOCS = IndexSpec("documents_text", "text", "simple")
@@ -247,3 +248,13 @@ _add("precision_at_k", _quality("precision"),
      f"{_ranking(10)}, {_REL} SELECT round(avg(p), {DIGITS}) AS mean_precision FROM (SELECT rk.query_id, count(rel.doc_id) / 10.0 AS p FROM rk LEFT JOIN rel ON rel.query_id = rk.query_id AND rel.doc_id = rk.doc_id GROUP BY 1)")
 _add("mrr_at_k", _quality("rr"),
      f"{_ranking(10)}, {_REL} SELECT round(avg(p), {DIGITS}) AS mean_rr FROM (SELECT rk.query_id, coalesce(1.0 / min(CASE WHEN rel.doc_id IS NOT NULL THEN rank END), 0) AS p FROM rk LEFT JOIN rel ON rel.query_id = rk.query_id AND rel.doc_id = rk.doc_id GROUP BY 1)")
+
+# ---- SQL text
+
+
+def _sql_function(s: SparkSession, d: str) -> DataFrame:
+    register(_index(s, d), "documents")
+    return s.sql("SELECT doc_id, score FROM documents_search('that thesea', 10)")
+
+
+_add("search_sql_function", _sql_function, top(TWO))
