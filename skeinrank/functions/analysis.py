@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from . import stemmer
+from . import stemmer, stemmers
 from .scoring import MAX_TERM
 
 WORD = r"[\p{L}\p{N}]+"
@@ -40,36 +40,46 @@ _WORDS = regex.compile(HYPHENATED)
 _SIMPLE = regex.compile(WORD)
 
 
-def english_terms(text: str, memory: dict[str, str | None]) -> list[str]:
+LANGUAGES: dict[str, tuple[frozenset[str], Callable[[str], str]]] = {
+    "english": (stemmer.ENGLISH_STOP, stemmer.english),
+    "french": (stemmers.FRENCH_STOP, stemmers.french),
+    "german": (stemmers.GERMAN_STOP, stemmers.german),
+    "spanish": (stemmers.SPANISH_STOP, stemmers.spanish),
+}
+
+
+def language_terms(language: str, text: str, memory: dict[str, str | None]) -> list[str]:
+    """Stems in text order; ``memory`` keeps the stem of each word (None for stop words) from text to text."""
+    stop, stem = LANGUAGES[language]
     out = []
     for m in _WORDS.finditer(text.lower()):
         whole = m[0]
         for w in ([whole, *whole.split("-")] if "-" in whole else [whole]):
             if w not in memory:
-                memory[w] = None if w in stemmer.ENGLISH_STOP or len(w) > MAX_TERM else stemmer.english(w)
+                memory[w] = None if w in stop or len(w) > MAX_TERM else stem(w)
             if memory[w]:
                 out.append(memory[w])
     return out
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _english(texts: pd.Series) -> pd.Series:
-    memory: dict[str, str | None] = {}
-    return texts.map(lambda t: None if t is None else english_terms(t, memory))
+def language_analyzer(language: str) -> Analyzer:
+    """Stop words removed, the rest stemmed; hyphenated words give the whole and its parts."""
 
+    @F.pandas_udf(ArrayType(StringType()))
+    def stems(texts: pd.Series) -> pd.Series:
+        memory: dict[str, str | None] = {}
+        return texts.map(lambda t: None if t is None else language_terms(language, t, memory))
 
-def english(text: Column) -> Column:
-    """Stop words removed, the rest stemmed; hyphenated words give the whole and its parts."""
-    return _english(text)
+    return lambda text: stems(text)
 
 
-ANALYZERS: dict[str, Analyzer] = {"simple": simple, "english": english, "english_stop": with_stop_words(stemmer.ENGLISH_STOP)}
+ANALYZERS: dict[str, Analyzer] = {"simple": simple, **{n: language_analyzer(n) for n in LANGUAGES}, "english_stop": with_stop_words(stemmer.ENGLISH_STOP)}
 
 
 #: The same analyses of a text that the caller holds, so that a single search needs no job for its query.
 LITERAL: dict[str, Callable[[str], list[str]]] = {
     "simple": lambda text: [w for w in _SIMPLE.findall(text.lower()) if len(w) <= MAX_TERM],
-    "english": lambda text: english_terms(text, {}),
+    **{n: lambda text, n=n: language_terms(n, text, {}) for n in LANGUAGES},
     "english_stop": lambda text: [w for w in _SIMPLE.findall(text.lower()) if len(w) <= MAX_TERM and w not in stemmer.ENGLISH_STOP],
 }
 

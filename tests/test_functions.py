@@ -2,8 +2,8 @@ import math
 
 import pytest
 
-from skeinrank.functions import stemmer
-from skeinrank.functions.analysis import english_terms
+from skeinrank.functions import stemmer, stemmers
+from skeinrank.functions.analysis import language_terms
 from skeinrank.functions.fieldnorm import quantize, quantize_int
 from skeinrank.functions.scoring import idf_value, weight_value
 from skeinrank.types import Bm25Query, Bm25Vector, IndexSpec
@@ -44,8 +44,8 @@ def test_english_stems(word, stem):
 
 
 def test_english_terms_drop_stop_words_and_split_hyphens():
-    assert english_terms("The quick brown fox jumps over the lazy dog", {}) == ["quick", "brown", "fox", "jump", "lazi", "dog"]
-    assert english_terms("a well-known fact", {}) == ["well-known", "well", "known", "fact"]
+    assert language_terms("english", "The quick brown fox jumps over the lazy dog", {}) == ["quick", "brown", "fox", "jump", "lazi", "dog"]
+    assert language_terms("english", "a well-known fact", {}) == ["well-known", "well", "known", "fact"]
 
 
 def test_specification_limits():
@@ -67,3 +67,18 @@ def test_query_and_vector_text_forms():
     for bad in (":{a:1}", "idx", "idx:{a}"):
         with pytest.raises(ValueError):
             Bm25Vector.parse(bad)
+
+
+@pytest.mark.parametrize(("language", "pairs"), [
+    ("french", "chevaux cheval majestueusement majestu continuation continu continuellement continuel mangeons mangeon rapide rapid saute saut chien chien renard renard"),
+    ("german", "aufeinanderfolge aufeinanderfolg häuser haus kategorien kategori schönheit schonheit bücher buch"),
+    ("spanish", "chicas chic torneado torn torneos torne toreros torer canciones cancion rápidamente rapid"),
+])
+def test_other_stems(language, pairs):
+    words = pairs.split()
+    assert [getattr(stemmers, language)(w) for w in words[::2]] == words[1::2]
+
+
+def test_french_compounds():
+    terms = language_terms("french", "Le renard brun rapide saute par-dessus le chien", {})
+    assert terms == ["renard", "brun", "rapid", "saut", "par-dessus", "dessus", "chien"]

@@ -92,6 +92,19 @@ def test_english_configuration_and_language_override(spark):
     assert search(i, "running", language="simple").count() == 0
 
 
+def test_two_languages_in_one_token_column(spark):
+    """Documents analysed by their own language, queries by an override: known values."""
+    from skeinrank.functions.analysis import analyzer
+
+    texts = [(1, "english", "quick brown foxes jump high over fences"), (2, "english", "a fox runs fast today"), (3, "french", "Le renard brun rapide saute par-dessus le chien")]
+    docs = spark.createDataFrame(texts, "doc_id long, lang string, content string")
+    tokens = F.when(F.col("lang") == "french", analyzer("french")(F.col("content"))).otherwise(analyzer("english")(F.col("content")))
+    i = build(docs.select("doc_id", tokens.alias("tokens")), IndexSpec("i", "tokens"))
+    assert [r["doc_id"] for r in search(i, "foxes", language="english").collect()] == [2, 1]
+    assert [r["doc_id"] for r in search(i, "renards", language="french").collect()] == [3]
+    assert search(i, "renards", language="simple").count() == 0
+
+
 def test_token_columns(spark):
     rows_ = spark.createDataFrame([(1, ["fox", "dog"], {"fox": 2}), (2, ["cat"], {"cat": 1})], "doc_id long, tokens array<string>, counts map<string,int>")
     for column in ("tokens", "counts"):
