@@ -6,7 +6,7 @@ lines of a pair are aligned by longest common subsequence and the shared lines,
 Differencing alone would delete article paragraphs that two pages really share and keep what a template
 varies from page to page (a rotated advert, a footer with the date), so two rules of structure go with it:
 elements that say they are navigation, adverts, forms, comments and the like are left out before pages are
-compared, and paragraphs inside an explicit article or main element are never deleted as shared.  A neighbour
+compared, and paragraphs inside an explicit article (an article or main element, or one that is named so) are never deleted as shared.  A neighbour
 that shares most of a page is a copy of it, not a sample of the template; then the next neighbour is taken.
 
 Scale: only keys (host, path, id) are range-sorted, so one host may span many tasks; neighbours across a
@@ -44,6 +44,11 @@ TEMPLATE_WORDS = frozenset(
     "sidebar widget widgets related recommended recommendations share sharing social footer masthead cookie cookies consent gdpr notice alert popup modal overlay "
     "newsletter subscribe subscription signup login comment comments disqus reply replies pagination pager toolbar skip copyright complementary contentinfo search".split()
 )
+#: Class and id values of elements that hold an article where there is no article element.
+CONTENT_NAMES = frozenset(
+    "content main article post entry hentry story main-content maincontent page-content post-content entry-content article-content story-content "
+    "article-body articlebody post-body entry-body story-body content-body article-text post-text".split()
+)
 #: Header parts are a page's own outside an article and the article's title inside.
 HEADER_WORDS = frozenset(["header", "banner"])
 
@@ -80,12 +85,25 @@ def _is_template(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _holds_content(name: str, attributes: str) -> bool:
+    """Whether an element is an article's by its kind, class, id or property."""
+    if name in ("article", "main"):
+        return True
+    if name not in ("div", "section", "td") or not attributes:
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, values = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower().split()
+        if key in ("class", "id") and not CONTENT_NAMES.isdisjoint(values) or key == "role" and "main" in values or key == "itemprop" and "articlebody" in values:
+            return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, inside an article or main element, in a paragraph-like element) of each block that structure keeps, in page order."""
+    """(text, inside an element that holds an article, in a paragraph-like element) of each block that structure keeps, in page order."""
     out: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements and whether they start a template part
-    skipping = main = paragraph = 0
+    stack: list[tuple[str, bool, bool]] = []  # open elements, and whether they start a template part or hold an article
+    skipping = main = article = paragraph = 0
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -96,11 +114,12 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                 out.append((text, main > 0, paragraph > 0))
 
     def close(depth: int) -> None:
-        nonlocal skipping, main, paragraph
+        nonlocal skipping, main, article, paragraph
         while len(stack) > depth:
-            name, template = stack.pop()
+            name, template, holds = stack.pop()
             skipping -= template
-            main -= name in ("article", "main")
+            main -= holds
+            article -= name in ("article", "main")
             paragraph -= name in PARAGRAPH
 
     for m in _TAG.finditer(page):
@@ -143,10 +162,11 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                     break
                 if other in BLOCK:
                     break
-        template = _is_template(name, attributes, main > 0)
-        stack.append((name, template))
+        template, holds = _is_template(name, attributes, article > 0), _holds_content(name, attributes)
+        stack.append((name, template, holds))
         skipping += template
-        main += name in ("article", "main")
+        main += holds
+        article += name in ("article", "main")
         paragraph += name in PARAGRAPH
     if not skipping and at < end:
         parts.append(page[at:])
@@ -155,7 +175,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
 
 
 def kept_blocks(page: str | None) -> list[tuple[str, bool]]:
-    """(text, protected) of a page's lines: of those in an article or main element, if it has one with text."""
+    """(text, protected) of a page's lines: of those in an element that holds an article, if there is one with text."""
     found = blocks(page or "")
     if any(inside for _, inside, _ in found):
         return [(t, p) for t, inside, p in found if inside]

@@ -227,6 +227,8 @@ def test_longest_common_subsequence():
     ("<nav><ul><li>no</ul></nav><article><header><h1>T</h1></header><p>x<aside>no</aside><p>y</article><div class='comments'>no</div>", "T\nx\ny"),
     ("<div class='site-header'>no</div><main><p>in <b>bold</b></p><form><input>no</form></main><footer>no", "in bold"),
     ("<div class=\"ad\">no<div>no</div></div><div id='cookieNotice'>no</div><div class='shadow'>yes</div>", "yes"),
+    ("<div id='page'><header>no</header><div>no</div><div class='post-content'><h2>T</h2><p>x</p><div class='share'>no</div></div><div>no</div></div>", "T\nx"),
+    ("<table><tr><td>menu</td><td class='content'><p>x<p>y</td></tr></table>", "x\ny"), ("<div class='post-meta'>by me</div><p>x", "by me\nx"),
     ("plain text", "plain text"), ("", ""), ("<p hidden>no</p><p style='display: none'>no</p>ok", "ok"), ("<a title='x>y'>z</a", "z</a"),
 ])
 def test_structure(page, text):
