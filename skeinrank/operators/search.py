@@ -32,8 +32,8 @@ def query_terms(queries: DataFrame, config: str | None, text_col: str = "query_t
     return queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("int").alias("qf"))
 
 
-def _literal_terms(index: Index, texts: Iterable[tuple[int, str]], language: str | None) -> DataFrame:
-    """Terms of queries that the caller holds; analysed once, so plans carry literals."""
+def literal_terms(index: Index, texts: Iterable[tuple[int, str]], language: str | None = None) -> tuple[DataFrame, bool]:
+    """Terms of queries that the caller holds, analysed once, so plans carry literals; and whether they are few enough to broadcast."""
     spark = index.postings.sparkSession
     config = language or index.spec.text_config or "english"
     analyzer(config)
@@ -43,32 +43,34 @@ def _literal_terms(index: Index, texts: Iterable[tuple[int, str]], language: str
     else:  # own analyzers, and letters whose lower case may differ between runtimes
         rows = spark.createDataFrame(list(texts), "query_id long, query_text string")
         found = [tuple(r) for r in query_terms(rows, config).collect()]  # the caller's own query texts
-    terms = spark.createDataFrame(found, "query_id long, term string, qf int")
-    return F.broadcast(terms) if len(found) <= BROADCAST_ROWS else terms
+    return spark.createDataFrame(found, "query_id long, term string, qf int"), len(found) <= BROADCAST_ROWS
 
 
-def score_postings(index: Index, terms: DataFrame, scope: list[str] | None = None, k1: float | None = None, b: float | None = None, postings: DataFrame | None = None, stats_index: Index | None = None) -> DataFrame:
-    """(query_id, doc_id, score) of every document with a query term; statistics within ``scope`` columns if given."""
+def score_postings(index: Index, terms: DataFrame, small: bool = False, scope: list[str] | None = None, k1: float | None = None, b: float | None = None,
+                   postings: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of every document with a query term; statistics within ``scope`` columns if given.
+
+    ``small`` says that the terms (and so what is known of them) are few: then only scores are shuffled.
+    ``postings`` are those to score, if not all; statistics stay the index's.
+    """
     k1, b, keys = index.spec.k1 if k1 is None else k1, index.spec.b if b is None else b, scope or []
-    stats = stats_index or index
-    wanted = F.broadcast(terms.select("term").distinct()) if stats is index and postings is None and _is_small(terms) else terms.select("term").distinct()
-    rows = (index.postings if postings is None else postings).join(wanted, "term", "left_semi")
-    df = (rows if stats is index and postings is None else stats.postings.join(wanted, "term", "left_semi")).groupBy(*keys, "term").agg(F.count("*").alias("df"))
-    corpus = stats.stats_by(keys)
+    side = F.broadcast if small else lambda df: df
+    wanted = side(terms.select("term").distinct())
+    matching = index.postings.join(wanted, "term", "left_semi")
+    rows = matching if postings is None else postings.join(wanted, "term", "left_semi")
+    df = matching.groupBy(*keys, "term").agg(F.count("*").alias("df"))
     if keys:
-        df = df.join(corpus, keys)
-    elif stats.totals is not None:
-        n, total = stats.totals
+        df = df.join(index.stats_by(keys), keys)
+    elif index.totals is not None:
+        n, total = index.totals
         df = df.withColumns({"n": F.lit(n), "avgdl": F.lit(total / n if n else 0.0)})
     else:  # one row of statistics for all terms
-        df = df.withColumn("whole", F.lit(True)).join(F.broadcast(corpus.withColumn("whole", F.lit(True))), "whole")
+        df = df.withColumn("whole", F.lit(True)).join(F.broadcast(index.corpus_stats.withColumn("whole", F.lit(True))), "whole")
     weighted = df.select(*keys, "term", idf(F.col("df"), F.col("n")).alias("idf"), "avgdl")
+    if not keys:
+        weighted = side(weighted)
     weight = term_weight(F.col("idf"), F.col("tf"), F.col("dl_q"), F.col("avgdl"), k1, b, F.col("qf"))
-    return rows.join(weighted, [*keys, "term"]).join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
-
-
-def _is_small(terms: DataFrame) -> bool:
-    return "ResolvedHint" in terms._jdf.queryExecution().analyzed().toString()
+    return rows.join(weighted, [*keys, "term"]).join(side(terms), "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
 def ranked(scored: DataFrame, k: int | None, offset: int = 0) -> DataFrame:
@@ -96,7 +98,7 @@ def search(index: Index, query: str | Bm25Query, k: int | None = 10, offset: int
         scoped, scope = _within(index, TENANT, tenant), [TENANT]
     if partition is not None:
         scoped, scope = _within(scoped, "partition_key", partition), [*scope, "partition_key"]
-    scored = score_postings(scoped, _literal_terms(index, [(0, q.text)], language or q.language), scope, k1, b)
+    scored = score_postings(scoped, *literal_terms(index, [(0, q.text)], language or q.language), scope, k1, b)
     if live is not None:
         scored = scored.join(live.select(F.col(index.spec.id_column).alias("doc_id")).distinct(), "doc_id", "left_semi")
     if threshold is not None:
@@ -111,7 +113,7 @@ def _within(index: Index, column: str, value) -> Index:
 def search_batch(index: Index, queries: DataFrame, k: int = 10, language: str | None = None, scope: list[str] | None = None, k1: float | None = None, b: float | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score) of the k best documents of each query (query_id, query_text) in one plan."""
     terms = query_terms(queries, language or index.spec.text_config or "english")
-    scored = score_postings(index, terms, scope, k1, b).withColumn("score", F.round(operator_value(F.col("score")), DIGITS))
+    scored = score_postings(index, terms, False, scope, k1, b).withColumn("score", F.round(operator_value(F.col("score")), DIGITS))
     order = Window.partitionBy("query_id").orderBy("score", "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
@@ -122,7 +124,7 @@ def score(index: Index, query: str | Bm25Query, docs: DataFrame | None = None, l
     Statistics are the whole index's, whatever tenant the query names.
     """
     q = query if isinstance(query, Bm25Query) else Bm25Query(query)
-    scored = score_postings(index, _literal_terms(index, [(0, q.text)], language or q.language), None, k1, b).select("doc_id", "score")
+    scored = score_postings(index, *literal_terms(index, [(0, q.text)], language or q.language), None, k1, b).select("doc_id", "score")
     if docs is None:
         return index.doc_stats.select("doc_id").join(scored, "doc_id", "left").select("doc_id", F.round(operator_value(F.coalesce("score", F.lit(0.0))), DIGITS).alias("score"))
     rows = docs.select(F.col(index.spec.id_column).alias("doc_id"), F.col(index.spec.column).isNull().alias("absent"))
@@ -135,7 +137,7 @@ def more_like_this(index: Index, docs: DataFrame, doc_id: int, k: int = 10, incl
     row = docs.where(F.col(index.spec.id_column) == doc_id).select(index.spec.column).first()
     if row is None or row[0] is None:
         return index.doc_stats.where("false").select("doc_id", F.lit(0.0).alias("score"))
-    found = score_postings(index, _literal_terms(index, [(0, row[0])], None))
+    found = score_postings(index, *literal_terms(index, [(0, row[0])]))
     return ranked(found if include_self else found.where(F.col("doc_id") != doc_id), k)
 
 

@@ -15,8 +15,7 @@ from ..functions.scoring import DIGITS, TF_CAP, idf
 from ..functions.stemmer import ENGLISH_STOP
 from ..operators import metrics
 from ..operators.index import Index, analyzed, build
-from ..operators.search import more_like_this, ranked, score, score_postings, search, search_batch
-from ..operators.search import _literal_terms as literal_terms
+from ..operators.search import literal_terms, more_like_this, ranked, score, score_postings, search, search_batch
 from ..sources.tables import page_text, table
 from ..types import IndexSpec
 from .sql_surface import register
@@ -134,10 +133,10 @@ def _filtered(lang: str, before: bool) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         index = _index(s, d)
         ids = _documents(s, d).where(F.col("lang") == lang).select("doc_id")
-        terms = literal_terms(index, [(0, TWO)], None)
+        terms, small = literal_terms(index, [(0, TWO)])
         if before:
-            return ranked(score_postings(index, terms, postings=index.postings.join(ids, "doc_id", "left_semi"), stats_index=index), 10)
-        return ranked(score_postings(index, terms).join(ids, "doc_id", "left_semi"), 10)
+            return ranked(score_postings(index, terms, small, postings=index.postings.join(ids, "doc_id", "left_semi")), 10)
+        return ranked(score_postings(index, terms, small).join(ids, "doc_id", "left_semi"), 10)
 
     return run
 
