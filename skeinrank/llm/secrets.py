@@ -39,8 +39,8 @@ LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 #: The words that the assign pattern starts with, and the labels of PEM keys.
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 PEM = re.compile(r"-----BEGIN ((?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
-#: Runs shorter than this cannot hold a key or a signed token.
-LEAST_RUN = 32
+#: A text with a run of so many characters that keys are written in is looked at; the shortest that counts has 32.
+SUSPECT_RUN = 16
 _RUN = at.byte_class([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2F, 0x2F), (0x5F, 0x5F), (0x3D, 0x3D), (0x2D, 0x2E)])
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{32,}")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
@@ -189,10 +189,8 @@ def _suspects(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     flagged = np.zeros(n, bool)
     if not len(raw):
         return flagged
-    other = np.flatnonzero(~_RUN[raw])
-    gaps = np.diff(np.concatenate(([-1], other, [len(raw)])))
-    long_at = np.concatenate(([-1], other))[gaps > 16] + 1
-    flagged[np.searchsorted(off, long_at, side="right") - 1] = True
+    starts, ends, rows = at.word_spans(raw, off, ~_RUN)
+    flagged[rows[ends - starts >= SUSPECT_RUN]] = True
     data = at.LOWER[raw].tobytes()
     for word in (*WORDS, b"akia", b"-----begin "):
         start = data.find(word)
