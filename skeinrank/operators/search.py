@@ -22,8 +22,9 @@ from ..types import Bm25Query
 from .index import TENANT, Index
 
 MAX_RESULTS = 100_000
-#: Query terms given as literals are broadcast up to this many rows; larger query tables are joined by their own size.
-BROADCAST_ROWS = 100_000
+#: A caller's query of so many terms is written into the plan: its terms reach the scan of the postings, and what
+#: is known of them is broadcast.  Larger ones are joined like a table of queries.
+LITERAL_TERMS = 1000
 
 
 def query_terms(queries: DataFrame, config: str | None, text_col: str = "query_text") -> DataFrame:
@@ -32,32 +33,38 @@ def query_terms(queries: DataFrame, config: str | None, text_col: str = "query_t
     return queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("int").alias("qf"))
 
 
-def literal_terms(index: Index, texts: Iterable[tuple[int, str]], language: str | None = None) -> tuple[DataFrame, bool]:
-    """Terms of queries that the caller holds, analysed once, so plans carry literals; and whether they are few enough to broadcast."""
+def literal_terms(index: Index, texts: Iterable[tuple[int, str]], language: str | None = None) -> tuple[DataFrame, list[str] | None]:
+    """Terms of queries that the caller holds, analysed once; and their list if they are few enough to be literals."""
     spark = index.postings.sparkSession
     config = language or index.spec.text_config or "english"
     analyzer(config)
-    literal = LITERAL.get(config.rpartition(".")[2])
+    literal, texts = LITERAL.get(config.rpartition(".")[2]), list(texts)
     if literal is not None and all(t.isascii() for _, t in texts):
         found = [(q, t, n) for q, text in texts for t, n in Counter(literal(text)).items()]
     else:  # own analyzers, and letters whose lower case may differ between runtimes
-        rows = spark.createDataFrame(list(texts), "query_id long, query_text string")
+        rows = spark.createDataFrame(texts, "query_id long, query_text string")
         found = [tuple(r) for r in query_terms(rows, config).collect()]  # the caller's own query texts
-    return spark.createDataFrame(found, "query_id long, term string, qf int"), len(found) <= BROADCAST_ROWS
+    if not found or len(found) > LITERAL_TERMS:
+        return spark.createDataFrame(found, "query_id long, term string, qf int"), None if found else []
+    structs = [F.struct(F.lit(q).cast("long").alias("query_id"), F.lit(t).alias("term"), F.lit(n).cast("int").alias("qf")) for q, t, n in found]
+    return spark.range(1).select(F.inline(F.array(*structs))), sorted({t for _, t, _ in found})
 
 
-def score_postings(index: Index, terms: DataFrame, small: bool = False, scope: list[str] | None = None, k1: float | None = None, b: float | None = None,
+def score_postings(index: Index, terms: DataFrame, names: list[str] | None = None, scope: list[str] | None = None, k1: float | None = None, b: float | None = None,
                    postings: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of every document with a query term; statistics within ``scope`` columns if given.
 
-    ``small`` says that the terms (and so what is known of them) are few: then only scores are shuffled.
+    ``names`` are the terms' values if they are few: then they filter the scan, and only scores are shuffled.
     ``postings`` are those to score, if not all; statistics stay the index's.
     """
     k1, b, keys = index.spec.k1 if k1 is None else k1, index.spec.b if b is None else b, scope or []
-    side = F.broadcast if small else lambda df: df
-    wanted = side(terms.select("term").distinct())
-    matching = index.postings.join(wanted, "term", "left_semi")
-    rows = matching if postings is None else postings.join(wanted, "term", "left_semi")
+    side = F.broadcast if names is not None else lambda df: df
+
+    def with_terms(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("term").isin(names)) if names is not None else rows.join(terms.select("term").distinct(), "term", "left_semi")
+
+    matching = with_terms(index.postings)
+    rows = matching if postings is None else with_terms(postings)
     df = matching.groupBy(*keys, "term").agg(F.count("*").alias("df"))
     if keys:
         df = df.join(index.stats_by(keys), keys)
@@ -113,7 +120,7 @@ def _within(index: Index, column: str, value) -> Index:
 def search_batch(index: Index, queries: DataFrame, k: int = 10, language: str | None = None, scope: list[str] | None = None, k1: float | None = None, b: float | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score) of the k best documents of each query (query_id, query_text) in one plan."""
     terms = query_terms(queries, language or index.spec.text_config or "english")
-    scored = score_postings(index, terms, False, scope, k1, b).withColumn("score", F.round(operator_value(F.col("score")), DIGITS))
+    scored = score_postings(index, terms, None, scope, k1, b).withColumn("score", F.round(operator_value(F.col("score")), DIGITS))
     order = Window.partitionBy("query_id").orderBy("score", "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

@@ -133,10 +133,10 @@ def _filtered(lang: str, before: bool) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         index = _index(s, d)
         ids = _documents(s, d).where(F.col("lang") == lang).select("doc_id")
-        terms, small = literal_terms(index, [(0, TWO)])
+        terms, names = literal_terms(index, [(0, TWO)])
         if before:
-            return ranked(score_postings(index, terms, small, postings=index.postings.join(ids, "doc_id", "left_semi")), 10)
-        return ranked(score_postings(index, terms, small).join(ids, "doc_id", "left_semi"), 10)
+            return ranked(score_postings(index, terms, names, postings=index.postings.join(ids, "doc_id", "left_semi")), 10)
+        return ranked(score_postings(index, terms, names).join(ids, "doc_id", "left_semi"), 10)
 
     return run
 
