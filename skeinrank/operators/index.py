@@ -4,8 +4,8 @@ postings(doc_id, [scopes], term, tf, dl_q)    one row for each document and term
 doc_stats(doc_id, [scopes], dl, dl_q)         documents with one term at least
 Term and corpus statistics are aggregates of these, over everything or within a scope (tenant, partition).
 
-A document's length is found inside its row (no shuffle); its terms are counted map-side, since all of a document's
-tokens are in one task, and only distinct (document, term) pairs are shuffled.
+A document's length is found inside its row.  Texts are dealt by doc_id once; a document's terms are then counted where its
+text is, without a shuffle of (document, term) pairs.
 """
 
 from __future__ import annotations
@@ -80,10 +80,10 @@ class Index:
         return rows.groupBy(*(keys or []), "term").agg(F.count("*").alias("df"))
 
     def save(self, path: str) -> Index:
-        """Postings sorted by term, so that a query's terms prune row groups; returns the index as read back."""
+        """Postings sorted by term, so that a query's terms prune row groups (ranges may split a frequent term); returns the index as read back."""
         spark = self.postings.sparkSession
         parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.postings.repartitionByRange(parts, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.postings.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
         row = Index(self.spec, self.postings, spark.read.parquet(f"{path}/doc_stats")).corpus_stats.first()
         spark.createDataFrame([(json.dumps(asdict(self.spec)), row["n"], row["total_len"])], "spec string, n long, total_len long").coalesce(1).write.mode("overwrite").json(f"{path}/index_meta")
@@ -100,8 +100,11 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(IndexSpec(**json.loads(meta["spec"])), spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"), (meta["n"], meta["total_len"]))
 
 
-def analyzed(df: DataFrame, spec: IndexSpec) -> DataFrame:
-    """doc_id, scopes, tokens and dl of each document with one term at least (nulls, empty and stop-word-only texts have none)."""
+def analyzed(df: DataFrame, spec: IndexSpec, spread: bool = False) -> DataFrame:
+    """doc_id, scopes, tokens and dl of each document with one term at least (nulls, empty and stop-word-only texts have none).
+
+    ``spread`` deals the texts by doc_id first: counting a document's terms then needs no shuffle of its (longer) terms.
+    """
     if spec.id_column not in df.columns:
         raise ValueError(f'column "{spec.id_column}" does not exist')
     scopes = []
@@ -111,14 +114,17 @@ def analyzed(df: DataFrame, spec: IndexSpec) -> DataFrame:
         scopes.append(F.coalesce(F.col(spec.tenant_column).cast("int"), F.lit(0)).alias(TENANT))
     if spec.partition_column:
         scopes.append(F.col(spec.partition_column).alias(PARTITION))
-    rows = df.select(F.col(spec.id_column).alias("doc_id"), *scopes, tokens_of(df, spec.column, spec.text_config).alias("tokens"))
-    return rows.where("size(tokens) > 0").withColumn("dl", doc_length())
+    tokens = tokens_of(df, spec.column, spec.text_config)
+    rows = df.select(F.col(spec.id_column).alias("doc_id"), *scopes, F.col(spec.column))
+    if spread:
+        rows = rows.repartition("doc_id")
+    return rows.select("doc_id", *(c for c in (TENANT, PARTITION) if c in rows.columns), tokens.alias("tokens")).where("size(tokens) > 0").withColumn("dl", doc_length())
 
 
 def build(df: DataFrame, spec: IndexSpec) -> Index:
-    rows = analyzed(df, spec)
+    rows, measured = analyzed(df, spec, spread=True), analyzed(df, spec)
     scopes = [c for c in (TENANT, PARTITION) if c in rows.columns]
-    stats = rows.select("doc_id", *scopes, "dl").withColumn("dl_q", quantize("dl"))
+    stats = measured.select("doc_id", *scopes, "dl").withColumn("dl_q", quantize("dl"))
     exploded = rows.select("doc_id", *scopes, "dl", F.explode("tokens").alias("term"))
     counted = exploded.groupBy("doc_id", *scopes, "term", "dl").agg(F.least(F.count("*"), F.lit(TF_CAP)).cast("int").alias("tf"))
     return Index(spec, counted.withColumn("dl_q", quantize("dl")).drop("dl"), stats)

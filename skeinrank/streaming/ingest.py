@@ -78,7 +78,7 @@ class SegmentStore:
         return name if count else None
 
     def _save(self, index: Index, name: str) -> None:
-        index.postings.repartitionByRange(self._parts(), "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.path}/{name}/postings")
+        index.postings.repartitionByRange(self._parts(), "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.path}/{name}/postings")
         index.doc_stats.write.mode("overwrite").parquet(f"{self.path}/{name}/doc_stats")
 
     def _parts(self) -> int:
