@@ -4,7 +4,8 @@ Four measures per document (symbols a word, share of repeated lines, share of wo
 windows, share of upper-case letters) go into mergeable quantile sketches per language and source.  The
 sketch is a logarithmic histogram with a bounded relative error: bucket counts only add up, so partial
 sketches merge in any order and the same thresholds come out however rows are dealt.  A document is
-rejected where a measure passes the upper fence of its own group, or fails the base rule.
+rejected where a measure passes the upper fence of its group, or fails the base rule; documents that fail it are
+left out of the sketches.
 
 Edge cases: null text, language or source are allowed (null keys form groups of their own); a text
 without words has all counts 0 and fails the base rule; equal values tie and share a bucket; repeated
@@ -28,11 +29,13 @@ from .workspace import Workspace
 #: Relative error of the sketch, and the least value that is told from 0.
 ACCURACY, LEAST = 0.01, 1e-4
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
-#: The fence of a measure is its group's upper quartile plus this many times the distance between the
-#: quartiles, so it holds while less than a quarter of a group is junk.  Most measures are 0 in most
-#: clean documents; FLOOR keeps the fence of such a group from rejecting the first that isn't.
-SPREAD = 3.0
-FLOOR = {"symbol_ratio": 0.1, "dup_line_ratio": 0.3, "repeat_ratio": 0.3, "upper_ratio": 0.3}
+#: The fence of a measure is its group's TAIL quantile plus SPREAD times the distance from the median to it, over
+#: the documents that pass the base rule, and at most that of the group's language: a source in which more than
+#: 1 - TAIL are junk can't raise its own fence.  So fences hold while less than 1 - TAIL of a language is junk.
+TAIL, SPREAD = 0.9, 3.0
+#: Most measures are 0 in most clean documents, and a fence may be 0 too: one occurrence (a symbol, a second line, a
+#: second window of 3 words, a capital) is never beyond a fence.
+MEASURES = {"symbol_ratio": ("n_symbols", 1), "dup_line_ratio": ("n_dup_lines", 1), "repeat_ratio": ("n_repeat_words", 6), "upper_ratio": ("n_upper", 1)}
 #: A (language, source) group of fewer documents takes its language's sketch, and that of fewer the whole corpus's.
 LEAST_GROUP = 200
 
@@ -122,7 +125,12 @@ def bucket_value(b) -> F.Column:
     return F.when(b < 0, F.lit(0.0)).otherwise(F.lit(LEAST) * F.pow(F.lit(GAMMA), b) * (2 / (1 + GAMMA)))
 
 
-def sketch(measured: DataFrame, keys: tuple[str, ...], names: tuple[str, ...] = tuple(FLOOR)) -> DataFrame:
+def bucket_end(b) -> F.Column:
+    """The largest value of a bucket."""
+    return F.when(b < 0, F.lit(LEAST)).otherwise(F.lit(LEAST * (1 + 1e-9)) * F.pow(F.lit(GAMMA), b))
+
+
+def sketch(measured: DataFrame, keys: tuple[str, ...], names: tuple[str, ...] = tuple(MEASURES)) -> DataFrame:
     """(keys, measure, bucket, n): a mergeable sketch of each group and measure; merge with :func:`merge`."""
     each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in names)))
     return measured.select(*keys, each.alias("m")).groupBy(*keys, "m.measure", "m.bucket").agg(F.count("*").alias("n"))
@@ -140,21 +148,24 @@ def fences(sketches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         f"aggregate(h, named_struct('s', 0L, 'b', cast(null as int)), (a, x) -> named_struct('s', a.s + x.n, "
         f"'b', coalesce(a.b, case when a.s + x.n >= {p} * n then x.bucket end)), a -> a.b)"
     )
-    found = rows.select(*keys, "measure", "n", *(bucket_value(q(p)).alias(f"q{int(100 * p)}") for p in (0.25, 0.75)))
-    fence = F.col("q75") + SPREAD * (F.col("q75") - F.col("q25"))
-    return found.groupBy(*keys).agg(F.max("n").alias("n"), *(F.greatest(F.max(F.when(F.col("measure") == m, fence)), F.lit(f)).alias(f"{m}_fence") for m, f in FLOOR.items()))
+    found = rows.select(*keys, "measure", "n", q(0.5).alias("mid"), q(TAIL).alias("tail"))
+    fence = bucket_end(F.col("tail")) + SPREAD * (bucket_value(F.col("tail")) - bucket_value(F.col("mid")))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("measure") == m, fence)).alias(f"{m}_fence") for m in MEASURES))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """Fences of each (lang, source): from its own sketch if it has LEAST_GROUP documents, else from its language's or the corpus's."""
-    own = sketch(measured, ("lang", "source"))
+    """Fences of each (lang, source): from its own sketch if it has LEAST_GROUP documents, but no wider than its language's; else its language's, or the corpus's."""
+    own = sketch(measured.where("not base_failed"), ("lang", "source"))
     by_lang, whole = merge(own, ("lang",)), merge(own, ())
     a, b, c = fences(own, ("lang", "source")), fences(by_lang, ("lang",)), fences(whole, ())
-    names = [f"{m}_fence" for m in FLOOR]
+    names = [f"{m}_fence" for m in MEASURES]
+    a = a.select(F.col("lang").alias("a_lang"), F.col("source").alias("a_source"), F.col("n").alias("a_n"), *(F.col(x).alias(f"a_{x}") for x in names))
     b = b.select(F.col("lang").alias("b_lang"), F.col("n").alias("b_n"), *(F.col(x).alias(f"b_{x}") for x in names))
-    whole_fence = c.first()  # one row, or none for an empty table
-    joined = a.join(b, F.col("lang").eqNullSafe(F.col("b_lang")))
-    pick = lambda x: F.when(F.col("n") >= LEAST_GROUP, F.col(x)).when(F.col("b_n") >= LEAST_GROUP, F.col(f"b_{x}")).otherwise(F.lit(whole_fence[x] if whole_fence else None))
+    whole_fence = c.first()  # one row, or none where no document passes the base rule
+    groups = measured.select("lang", "source").distinct()
+    joined = groups.join(a, F.col("lang").eqNullSafe(F.col("a_lang")) & F.col("source").eqNullSafe(F.col("a_source")), "left").join(b, F.col("lang").eqNullSafe(F.col("b_lang")), "left")
+    upper = lambda x: F.when(F.col("b_n") >= LEAST_GROUP, F.col(f"b_{x}")).otherwise(F.lit(whole_fence[x] if whole_fence else None).cast("double"))
+    pick = lambda x: F.when(F.col("a_n") >= LEAST_GROUP, F.least(F.col(f"a_{x}"), upper(x))).otherwise(upper(x))
     return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *(pick(x).alias(x) for x in names))
 
 
@@ -168,10 +179,10 @@ def judge(docs: DataFrame) -> DataFrame:
     measured = measures(ws.save(counts(docs), "counts"))
     limits = ws.save(thresholds(measured), "thresholds")
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    within = reduce(lambda x, y: x & y, (F.col(m) <= F.coalesce(F.col(f"{m}_fence"), F.lit(f)) for m, f in FLOOR.items()))
+    within = reduce(lambda x, y: x & y, ((F.col(m) <= F.col(f"{m}_fence")) | (F.col(c) <= once) for m, (c, once) in MEASURES.items()))
     return joined.withColumn("kept", ~F.col("base_failed") & within).drop("t_lang", "t_source")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return judged.select("doc_id", *COUNTS[:5], "base_failed", "kept", *(f"{m}_fence" for m in FLOOR))
+    return judged.select("doc_id", *COUNTS[:5], "base_failed", "kept", *(f"{m}_fence" for m in MEASURES))

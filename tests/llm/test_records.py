@@ -66,6 +66,18 @@ def test_thresholds_follow_their_group(spark, monkeypatch):
     assert all(got[i] for i in range(60)) and not got[100] and all(got[100 + i] for i in range(1, 60))
 
 
+def test_sketches_decide_not_fixed_cutoffs(spark, monkeypatch):
+    """A fence may be below any fixed cutoff, and a source that is mostly junk doesn't keep its junk."""
+    monkeypatch.setattr(quality, "LEAST_GROUP", 20)
+    r = random.Random(1)
+    text = lambda k: " ".join(f"w{r.randrange(10**6)}" + ("|" if j < k else "") for j in range(100))
+    rows = [(i, text(5 if i == 0 else 0), "en", "prose", 0) for i in range(400)] + [(1000 + i, text(90 if i % 3 else 0), "en", "junk", 0) for i in range(30)]
+    rows += [(2000, text(1), "en", "prose", 0), (2001, "too short", "xx", None, 0)]
+    got = {x["doc_id"]: x["kept"] for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert len(got) == len(rows) and not got[0] and not got[2001] and got[2000] and all(got[i] for i in range(1, 400))
+    assert all(got[1000 + i] == (i % 3 == 0) for i in range(30))
+
+
 # ---- personal data
 
 BASE = {
