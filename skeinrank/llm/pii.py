@@ -8,8 +8,9 @@ makes labels consistent, so a number that is written in full once is found where
 spans stay as they are; the CRF adds spans.
 
 Weights are fitted by pseudo-likelihood on generated sentences (``TRAIN_SENTENCES`` of them, fixed seed), so
-they are the same everywhere and take no rows of the input.  Repeats are linked to their next occurrence, so edges
-are linear in tokens.  Edge cases: null or empty texts have no spans; spans are code points, end exclusive;
+they are the same everywhere and take no rows of the input.  Repeats are linked to their next occurrence and, as
+evidence fades from link to link, to the first base span of each kind that they repeat, so edges are linear in tokens.
+Tokens of base spans are given; messages pass until they settle.  Edge cases: null or empty texts have no spans; spans are code points, end exclusive;
 extra columns are ignored by :func:`annotate` and kept by :func:`redact`; an empty table gives an empty result.
 """
 
@@ -31,7 +32,8 @@ from . import arrowtext as at
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 TRAIN_SENTENCES = 1200
-ROUNDS = 12
+#: Messages pass until none changes by more than this.
+SETTLED = 1e-3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -140,6 +142,9 @@ class Graph:
         locals_ = {x for x in locals_ if len(x) >= 5 and any(c in "0123456789._" for c in x)}
         marks = sorted((s, e, 1 + KINDS.index(k)) for k, s, e in base)
         seen: dict[str, int] = {}
+        keyed: list[tuple[str, int]] = []
+        certain: dict[str, dict[int, int]] = {}  # the first node of each kind of base span, by key
+        links: set[tuple[int, int]] = set()
         before, m = -2, 0
         for i, (s, e) in enumerate(tokens):
             token = text[s:e]
@@ -167,7 +172,17 @@ class Graph:
                 if len(key) >= 3:
                     if key in seen:
                         self.skip.append((seen[key], node))
+                        links.add((seen[key], node))
                     seen[key] = node
+                    keyed.append((key, node))
+                    if own:
+                        certain.setdefault(key, {}).setdefault(own, node)
+        for key, node in keyed:
+            for sure in certain.get(key, {}).values() if not self.base[node] else ():
+                link = (min(sure, node), max(sure, node))
+                if link not in links:
+                    links.add(link)
+                    self.skip.append(link)
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         edges = lambda e: np.array(e, np.int64).reshape(-1, 2)
@@ -205,28 +220,41 @@ def fit(graph: Graph, labels: np.ndarray, epochs: int = 400, rate: float = 4.0,
     return w, t, s
 
 
-def marginals(model: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Beliefs after loopy sum-product message passing with damping, for all nodes of all texts at once."""
+def marginals(model: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray, chain: np.ndarray, skip: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Beliefs after loopy sum-product message passing with damping, for all nodes of all texts at once.
+
+    given: the label of each node that is known, and 0 of others.  A round works on the messages that still move, or
+    whose source has changed; only where they never settle do rounds end, at a bound above the length of any path.
+    """
     w, t, s = model
-    unary = x @ w
+    unary, n = x @ w, len(LABELS)
+    known = np.eye(n, dtype=np.float32)[given]
     source = np.concatenate([chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]])
     target = np.concatenate([chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]])
     c, k = len(chain), len(skip)
-    if not len(source):
-        return _softmax(unary)
     opposite = np.concatenate([np.arange(c) + c, np.arange(c), np.arange(k) + 2 * c + k, np.arange(k) + 2 * c])
-    pair = np.concatenate([np.broadcast_to(np.exp(m), (len(e), *m.shape)) for m, e in ((t, chain), (t.T, chain), (s, skip), (s.T, skip))])
-    messages = np.zeros((len(source), len(LABELS)), np.float32)
-    for _ in range(rounds):
-        total = unary.copy()
-        np.add.at(total, target, messages)
-        out = _softmax(total[source] - messages[opposite])
-        new = np.log(np.einsum("el,elm->em", out, pair) + 1e-12)
+    pairs = np.exp(np.stack([t, t.T, s, s.T]))
+    kind = np.repeat(np.arange(4), [c, c, k, k])
+    messages = np.zeros((len(source), n), np.float32)
+    total, active, moving = unary.astype(np.float64), np.arange(len(source)), np.zeros(len(source), bool)
+    for _ in range(50 + 2 * len(x)):
+        if not len(active):
+            break
+        out = _softmax(total[source[active]] - messages[opposite[active]])
+        fixed = given[source[active]] > 0
+        out[fixed] = known[source[active][fixed]]
+        new = np.log(np.einsum("el,elm->em", out, pairs[kind[active]]) + 1e-12)
         new -= new.max(axis=1, keepdims=True)
-        messages = (messages + new) / 2
-    total = unary.copy()
-    np.add.at(total, target, messages)
-    return _softmax(total)
+        step = ((new - messages[active]) / 2).astype(np.float32)
+        messages[active] += step
+        np.add.at(total, target[active], step)
+        far = np.abs(step).max(axis=1) > SETTLED / 2
+        moving[:] = False
+        moving[active[far]] = True
+        changed = np.zeros(len(x), bool)
+        changed[target[active[far]]] = True
+        active = np.flatnonzero(moving | changed[source] & (given[source] == 0))
+    return np.where(given[:, None] > 0, known, _softmax(total))
 
 
 # ---- generated training sentences
@@ -300,7 +328,7 @@ def spans_of(texts: list[str], model) -> list[tuple[list[Span], list[Span]]]:
             graph.add(i, text, base)
     added: list[list[Span]] = [[] for _ in texts]
     if graph.spans:
-        belief = marginals(model, *graph.arrays())
+        belief = marginals(model, *graph.arrays(), np.array(graph.base))
         label = np.where(belief.max(axis=1) >= BELIEF, belief.argmax(axis=1), 0)
         linked = np.zeros(len(label), bool)
         for a, b in graph.skip:

@@ -122,6 +122,13 @@ def test_labels_agree_across_a_document():
     assert pii.spans_of(["(017) 555-7713 in 2019, version 2.0"], pii.trained()) == [([], [])]
 
 
+def test_every_repeat_of_a_long_document_is_found():
+    for short, full in (("(017) 555-7713", "+1 (017) 555-7713"), ("an.ther.7", "an.ther.7@ther.example.com")):
+        for parts in ([f"Ask {short} about it"] * 60 + [full], [full] + [f"Ask {short} about it"] * 60):
+            (base, every), = pii.spans_of([" filler words ".join(parts)], pii.trained())
+            assert len(base) == 1 and len(every) == 61, (short, len(every))
+
+
 def test_annotate_and_redact(spark):
     rows = [(1, None), (2, ""), (3, "é write to a.b@c.de or +1 (017) 555-7713"), (4, "no data"), (4, "10.0.0.1 " * 3), (None, "x@y.zz")]
     df = frame_nullable(spark, rows)
