@@ -4,8 +4,9 @@ Base patterns find well-formed e-mail addresses, IPv4 addresses, card and phone
 the tokens of a document that can be part of personal data.  Neighbouring tokens share chain potentials;
 tokens that repeat each other (the same token, the same long digit string, the local part of an address in the
 text) share skip potentials, however far apart.  Loopy sum-product message passing over the whole document
-makes labels consistent, so a number that is written in full once is found where it is repeated in part.  The base
-spans stay as they are; the CRF adds spans.
+makes labels consistent, so a number that is written in full once is found where it is repeated in part.  A text
+without base spans goes through the field as well: a number without its country is found where it is announced or
+repeated.  The base spans stay as they are; the CRF adds spans.
 
 Weights are fitted by pseudo-likelihood on generated sentences (``TRAIN_SENTENCES`` of them, fixed seed), so
 they are the same everywhere and take no rows of the input.  Repeats are linked to their next occurrence and, as
@@ -20,6 +21,7 @@ import functools
 import hashlib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,10 +98,13 @@ _CUES = {  # fixed values: words that announce personal data
     "card": 3, "visa": 3, "mastercard": 3, "credit": 3, "payment": 3,
     "phone": 4, "tel": 4, "telephone": 4, "call": 4, "mobile": 4, "fax": 4, "cell": 4,
 }
-N_FEATURES = 26
+#: A phone number with its area and without its country.
+_NATIONAL = re.compile(r"(?<![0-9A-Za-z+-])(?:\([0-9]{3}\)[\x20-]?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])")
+N_FEATURES = 29
 
 
-def _shape(token: str, cue: int, base: int) -> np.ndarray:
+def _shape(token: str, cue: int, base: int, local: bool, forms: int) -> np.ndarray:
+    """Features of a token: local if it is the local part of an address in the text, forms how often the national number that it is part of occurs."""
     x = np.zeros(N_FEATURES, np.float32)
     core = token.strip(_PUNCT)
     digits = sum("0" <= c <= "9" for c in core)
@@ -123,6 +128,7 @@ def _shape(token: str, cue: int, base: int) -> np.ndarray:
     if base:
         x[20 + base] = 1  # 21..24
     x[25] = digits == 0 and "@" not in core
+    x[26], x[27], x[28] = local, forms > 0, forms > 1
     return x
 
 
@@ -139,13 +145,16 @@ class Graph:
     def add(self, number: int, text: str, base: list[Span]) -> None:
         tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
         locals_ = {text[s:e].split("@")[0].lower() for k, s, e in base if k == "email"}
+        heads = frozenset(locals_)
+        numbers = [(*f.span(), _only(f[0])) for f in _NATIONAL.finditer(text)]
+        often = Counter(digits for _, _, digits in numbers)
         locals_ = {x for x in locals_ if len(x) >= 5 and any(c in "0123456789._" for c in x)}
         marks = sorted((s, e, 1 + KINDS.index(k)) for k, s, e in base)
         seen: dict[str, int] = {}
         keyed: list[tuple[str, int]] = []
         certain: dict[str, dict[int, int]] = {}  # the first node of each kind of base span, by key
         links: set[tuple[int, int]] = set()
-        before, m = -2, 0
+        before, m, f = -2, 0, 0
         for i, (s, e) in enumerate(tokens):
             token = text[s:e]
             core = token.strip(_PUNCT).lower()
@@ -154,12 +163,15 @@ class Graph:
             while m < len(marks) and marks[m][1] <= s:
                 m += 1
             own = next((k for a, b, k in marks[m : m + 4] if a < e and s < b), 0)
+            while f < len(numbers) and numbers[f][1] <= s:
+                f += 1
+            forms = often[numbers[f][2]] if f < len(numbers) and numbers[f][0] < e else 0
             cue = 0
             for a, b in reversed(tokens[max(0, i - 3) : i]):
                 cue = cue or _CUES.get(text[a:b].strip(_PUNCT).lower(), 0)
             node = len(self.spans)
             self.spans.append((number, s, e))
-            self.features.append(_shape(token, cue, own))
+            self.features.append(_shape(token, cue, own, core in heads, forms))
             self.base.append(own)
             if before == i - 1:
                 self.chain.append((node - 1, node))
@@ -197,15 +209,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(graph: Graph, labels: np.ndarray, epochs: int = 400, rate: float = 4.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pseudo-likelihood: each label given the token and the true labels of its chain and skip neighbours."""
+    """Pseudo-likelihood: each label given the token and the true labels of its chain and skip neighbours.
+
+    Half of the neighbours outside base spans are hidden, as none of them is known when messages start: else
+    repeats would explain each other, and nothing were learnt from what the tokens are.
+    """
     x, chain, skip = graph.arrays()
     n, k = len(x), len(LABELS)
     one = np.eye(k, dtype=np.float32)[labels]
+    shown = one * ((np.array(graph.base) > 0) | (np.random.default_rng(5).random(n) < 0.5))[:, None]
 
     def gathered(edges: np.ndarray, forward: bool) -> np.ndarray:
         out = np.zeros((n, k), np.float32)
         a, b = (edges[:, 0], edges[:, 1]) if forward else (edges[:, 1], edges[:, 0])
-        np.add.at(out, b, one[a])
+        np.add.at(out, b, shown[a])
         return out
 
     left, right = gathered(chain, True), gathered(chain, False)
@@ -259,6 +276,8 @@ def marginals(model: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray, c
 
 # ---- generated training sentences
 
+_PHONE_CUES = tuple(k for k, v in _CUES.items() if v == 4)
+
 def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     """A text and its (start, end, label): full forms, partial repeats of them, and numbers that aren't personal."""
     parts: list[tuple[str, int]] = []
@@ -267,8 +286,18 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     for _ in range(r.randint(1, 4)):
         parts += words(r.randint(2, 8))
-        kind = r.randint(1, 4)
-        if kind == 1:
+        kind = r.randint(1, 4) if r.random() < 0.6 else r.randint(5, 7)
+        if kind > 4:  # numbers without a country: personal where a word announces them or they are repeated
+            area, number = d(3), f"{d(3)}-{d(4)}"
+            form = [f"({area})", number] if r.random() < 0.5 else [f"{area}-{number}"]
+            if kind == 5:
+                parts += [(r.choice(_PHONE_CUES) + r.choice(("", ":")), 0), *(words(1) if r.random() < 0.5 else [])]
+            label = 4 if kind < 7 else 0
+            parts += [(x, label) for x in form]
+            for _ in range(r.randint(1, 3) if kind == 6 else 0):
+                parts += [*words(r.randint(1, 6)), *((x, label) for x in form)]
+            parts += words(1)
+        elif kind == 1:
             local = f"{word()}.{r.randint(1, 99)}"
             parts += [(f"{local}@{word()}{r.randint(1, 9)}.example.{r.choice(('com', 'org', 'net'))}", 1)]
             if r.random() < 0.5:
@@ -290,8 +319,13 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
             if r.random() < 0.5:
                 parts += [*words(r.randint(1, 6)), (area, 4), (number, 4)]
         for _ in range(r.randint(0, 4)):  # years, versions, counts, identifiers and words with digits
-            n = r.randint(0, 6)
+            n = r.randint(0, 7)
             parts += words(r.randint(1, 3))
+            if n == 7:  # an identifier, once or repeated
+                token = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((8, 16, 32, 40)))) + "0" if r.random() < 0.5 else word() + d(r.randint(1, 3))
+                for _ in range(r.choice((1, 2, 5))):
+                    parts += [(token, 0), *words(r.randint(1, 3))]
+                continue
             parts += [(str(r.randint(1900, 2030)) if n == 0 else f"{r.randint(0, 9)}.{r.randint(0, 20)}" if n == 1 else d(r.randint(1, 12)) if n == 2 else f"{r.randint(1, 28)}-{r.randint(1, 12)}-{r.randint(1990, 2030)}"
                        if n == 3 else word() + d(r.randint(1, 3)) if n == 4 else f"({d(r.randint(1, 4))})" if n == 5 else f"{d(3)}-{d(4)}", 0)]
     text, marks = "", []
@@ -315,8 +349,8 @@ def trained() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 # ---- spans
 
-#: A label is taken where its belief is this high.
-BELIEF = 0.8
+#: A label is taken where its belief is this high, and this high where nothing repeats its tokens.
+BELIEF, ALONE = 0.8, 0.95
 _ENOUGH = {"email": lambda t: True, "ip": lambda t: t.count(".") == 3, "card": lambda t: 12 <= len(_only(t)) <= 19, "phone": lambda t: 7 <= len(_only(t)) <= 15}
 
 
@@ -324,12 +358,12 @@ def spans_of(texts: list[str], model) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text; spans by kind as listed, then start."""
     bases, graph = [base_spans(t) for t in texts], Graph()
     for i, (text, base) in enumerate(zip(texts, bases, strict=True)):
-        if base:  # without any certain span there is nothing to be consistent with
-            graph.add(i, text, base)
+        graph.add(i, text, base)
     added: list[list[Span]] = [[] for _ in texts]
     if graph.spans:
         belief = marginals(model, *graph.arrays(), np.array(graph.base))
-        label = np.where(belief.max(axis=1) >= BELIEF, belief.argmax(axis=1), 0)
+        sure = belief.max(axis=1)
+        label = np.where(sure >= BELIEF, belief.argmax(axis=1), 0)
         linked = np.zeros(len(label), bool)
         for a, b in graph.skip:
             linked[a] = linked[b] = True
@@ -339,7 +373,7 @@ def spans_of(texts: list[str], model) -> list[tuple[list[Span], list[Span]]]:
             last = node
             while last + 1 < len(label) and (last, last + 1) in joined and label[last + 1] == label[node] and not graph.base[last + 1] and not graph.base[node]:
                 last += 1
-            if label[node] and not graph.base[node] and linked[node : last + 1].any():
+            if label[node] and not graph.base[node] and (linked[node : last + 1].any() or sure[node : last + 1].min() >= ALONE):
                 number, start, _ = graph.spans[node]
                 end = graph.spans[last][2]
                 text, kind = texts[number], LABELS[label[node]]

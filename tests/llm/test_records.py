@@ -129,6 +129,12 @@ def test_every_repeat_of_a_long_document_is_found():
             assert len(base) == 1 and len(every) == 61, (short, len(every))
 
 
+def test_texts_without_base_spans_have_a_field():
+    for text, n in (("Ring (555) 123-4567 by day or else (555) 123-4567 by night", 2), ("Please call (555) 123-4567 today", 1), ("phone: 555-123-4567", 1), ("in 2019 the 555 items of version 2.0 cost 123-45", 0)):
+        (base, every), = pii.spans_of([text], pii.trained())
+        assert not base and [k for k, _, _ in every] == ["phone"] * n, (text, every)
+
+
 def test_annotate_and_redact(spark):
     rows = [(1, None), (2, ""), (3, "é write to a.b@c.de or +1 (017) 555-7713"), (4, "no data"), (4, "10.0.0.1 " * 3), (None, "x@y.zz")]
     df = frame_nullable(spark, rows)
