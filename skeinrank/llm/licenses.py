@@ -1,7 +1,7 @@
 """License scans by sentence rules.
 
-A text is split into sentences, each sentence is normalised, and the normalised sentence is looked up in a table of
-known licence sentences.  What is left of a text is its ordered sequence of sentence identifiers; licence rules
+A text is split into parts at punctuation and line ends; the words from the start of a part on are looked up in a
+table of known licence sentences, over whatever punctuation and line ends stand between them, up to the end of a part.  What is left of a text is its ordered sequence of sentence identifiers; licence rules
 are ordered identifier sequences, matched against it with the most specific rule first.  Sentences that
 no rule takes are reported as ``unknown-notice`` if they speak of a licence.
 
@@ -13,7 +13,9 @@ extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as at
 
-# Known licence sentences, normalised (see normalise()), and their identifiers.  {v} stands for a version number.
+# Known licence sentences, as words (see words()), and their identifiers.  {v} stands for a version number.
 SENTENCES: dict[str, str] = {
     "licensed under the apache license version 2": "apache-under",
     "licensed under the apache license version 2 the license": "apache-under",
@@ -82,57 +84,58 @@ UNKNOWN = "unknown-notice"
 #: Other known sentences that may stand between two of a rule.
 GAP = 2
 
-_VERSION = re.compile(r"(?<![0-9a-z.])v?([0-9]+(?:\.[0-9]+)*)(?![0-9a-z])")
+_WORD = re.compile(r"(?<![0-9a-z.])v?([0-9]+(?:\.[0-9]+)*)(?![0-9a-z])|[a-z0-9]+", re.IGNORECASE | re.ASCII)
 _ATOM = re.compile(r"(?:[^.!?;:\n]|[.](?=[0-9A-Za-z])|:(?=//))+")
-#: Lines that one sentence may be wrapped over.
-WRAPPED = 12
 _NOTICE = re.compile(r"\b(?:un)?licen[sc]ed? (?:under|by)\b|\bunder the (?:terms of )?(?:the )?[a-z0-9 .-]{1,60}licen[sc]e\b", re.IGNORECASE)
 #: Every known sentence and every notice holds one of these (in lower case), so texts without are done.
-_HINTS = (b"licen", b"permi", b"redistribut", b"rights reserved", b"warrant", b"free software", b"unencumbered", b"notice", b"endorse")
+_HINTS = (b"licen", b"permi", b"redistribut", b"reserved", b"warrant", b"unencumbered", b"notice", b"endorse")
 
 
-def normalise(sentence: str) -> tuple[str, str | None]:
-    """Lower case, comment marks and punctuation to single spaces, spelling of licence, versions to {v}; and the version."""
-    s = re.sub(r"licence", "license", sentence.lower())
-    s = re.sub(r"\n[ \t#*/>-]*", " ", s)
-    found = _VERSION.search(s)
-    version = found[1] if found else None
-    kept = _VERSION.sub(" {v} ", s)
-    clean = lambda x: " ".join(re.sub(r"[^a-z0-9{}]+", " ", x).split())
-    plain, open_ = clean(re.sub(r"(?<=[0-9])\.0\b", "", s)), clean(kept)
-    return (plain, version) if plain in SENTENCES else (open_, version)
+def words(text: str, start: int, most: int) -> list[tuple[str, str | None, int, int]]:
+    """(word, version, start, end) of up to so many words from a place on: lower case, one spelling of licence, and a version's number apart."""
+    return [(m[0].lower().replace("licence", "license"), m[1], *m.span()) for m in islice(_WORD.finditer(text, start), most)]
 
 
-_OPENINGS = {tuple(k.split()[:2]) for k in SENTENCES}
+#: The known sentences by their first two words, longest first.
+_BY_OPENING: dict[tuple[str, ...], list[tuple[list[str], str]]] = {}
+for _sentence, _identifier in sorted(SENTENCES.items(), key=lambda x: -len(x[0].split())):
+    _BY_OPENING.setdefault(tuple(_sentence.split()[:2]), []).append((_sentence.split(), _identifier))
+
+
+def _fits(want: str, word: str, version: str | None) -> bool:
+    """{v} is any version; a number is itself, with or without .0."""
+    if version is None:
+        return want == word
+    return want == "{v}" or want == re.sub(r"\.0\b", "", version)
 
 
 def identified(text: str) -> list[tuple[str, str | None, int, int]]:
     """(identifier, version, start, end) of each known sentence, and of unknown notices, in text order.
 
-    A sentence is a line or a part of it; one that is wrapped over several lines is the longest run of
-    line ends without other punctuation that is known.
+    A known sentence starts where a part of the text starts, ends where one ends, and may hold any number of
+    parts and lines; the longest one counts.
     """
     out, i = [], 0
     atoms = [m.span() for m in _ATOM.finditer(text)]
     while i < len(atoms):
         start, end = atoms[i]
-        key, version = normalise(text[start:end])
-        taken = None
-        if tuple(key.split()[:2]) in _OPENINGS:
-            last = i
-            while last + 1 < len(atoms) and last + 1 < i + WRAPPED and "\n" in (gap := text[atoms[last][1] : atoms[last + 1][0]]) and not gap.strip():
-                last += 1
-            for j in range(last, i - 1, -1):
-                key, version = normalise(text[start : atoms[j][1]])
-                if key in SENTENCES:
-                    taken = j
+        found = None
+        known = _BY_OPENING.get(tuple(w for w, *_ in words(text, start, 2)), ())
+        if known and _WORD.search(text, start, end):
+            some = words(text, start, len(known[0][0]) + 1)
+            for sentence, identifier in known:
+                n = len(sentence)
+                if len(some) < n or not all(_fits(x, w, v) for x, (w, v, _, _) in zip(sentence, some, strict=False)):
+                    continue
+                j = bisect_left(atoms, some[n - 1][3], lo=i, key=lambda a: a[1])  # the part that the last word ends in
+                if len(some) == n or some[n][2] >= atoms[j][1]:
+                    found = identifier, next((v for _, v, _, _ in some[:n] if v), None), j
                     break
-        if taken is not None:
-            end = atoms[taken][1]
-            out.append((SENTENCES[key], version, start + len(text[start:end]) - len(text[start:end].lstrip()), start + len(text[start:end].rstrip())))
-            i = taken + 1
-            continue
-        if _NOTICE.search(text, start, end):
+        if found:
+            identifier, version, i = found
+            end = atoms[i][1]
+            out.append((identifier, version, start + len(text[start:end]) - len(text[start:end].lstrip()), start + len(text[start:end].rstrip())))
+        elif _NOTICE.search(text, start, end):
             out.append((UNKNOWN, None, start + len(text[start:end]) - len(text[start:end].lstrip()), start + len(text[start:end].rstrip())))
         i += 1
     return out

@@ -216,6 +216,34 @@ def test_license_rules(spark):
     assert [x[0] for x in licenses.match_rules(found)] == ["Apache-2.0", "GPL-any-only"]
 
 
+OFFICIAL = {  # known sentences in their official wording, where that has punctuation within
+    "apache-under": 'Licensed under the Apache License, Version 2.0 (the "License");', "apache-comply": "you may not use this file except in compliance with the License.",
+    "apache-obtain": "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n",
+    "apache-as-is": 'Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "mit-as-is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-source": "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "gpl-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "all-rights": "All rights reserved.",
+}
+
+
+def test_known_sentences_in_their_official_wording(spark):
+    plain = [(k, s.replace("{v}", "3.0")) for s, k in licenses.SENTENCES.items()]
+    rows = [(k, shape) for k, s in [*OFFICIAL.items(), *plain] for shape in (s, s.upper(), "Intro.\n# " + s.replace(" ", "\n# ") + "\n# end")]
+    for k, text in rows:
+        assert k in [x[0] for x in licenses.identified(text)], (k, text)
+        assert any(h.decode() in text.lower() for h in licenses._HINTS), text
+    g, h = OFFICIAL["gpl-later"], OFFICIAL["gpl-hope"]
+    docs = [(1, f"{g}\n\n{h}  See the\nGNU General Public License for more details."), (2, g.replace("software:", "software;")), (3, OFFICIAL["mpl-subject"]), (4, OFFICIAL["mit-grant"].replace(" ", "\n") + "\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n" + OFFICIAL["mit-as-is"]), (5, "(c) X. All rights\nreserved."), (6, "It isn't licensed under the MIT License")]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(frame(spark, docs)).collect()}
+    assert got == {1: "GPL-3.0-or-later", 2: "GPL-3.0-or-later", 3: "MPL-2.0", 4: "MIT", 5: "Proprietary", 6: "unknown-notice"}
+
+
 # ---- pages
 
 PAGE = "<html><head><title>t</title><style>p{{}}</style></head><body><div>Site name</div><div>{a}</div><p>{b}</p><div>Legal text of the site</div></body></html>"
