@@ -21,7 +21,6 @@ from ..functions.scoring import DIGITS, idf, operator_value, term_weight
 from ..types import Bm25Query
 from .index import TENANT, Index
 
-MAX_RESULTS = 100_000
 #: A caller's query of so many terms is written into the plan: its terms reach the scan of the postings, and what
 #: is known of them is broadcast.  Larger ones are joined like a table of queries.
 LITERAL_TERMS = 1000
@@ -81,12 +80,12 @@ def score_postings(index: Index, terms: DataFrame, names: list[str] | None = Non
 
 
 def ranked(scored: DataFrame, k: int | None, offset: int = 0) -> DataFrame:
-    """(rank, doc_id, score) of one query, best first."""
+    """(doc_id, score) of one query, best first; all of them where k is None."""
     value = F.round(operator_value(F.col("score")), DIGITS)
     rows = scored.select("doc_id", value.alias("score")).orderBy("score", "doc_id")
     if offset:
         rows = rows.offset(offset)
-    return rows.limit(MAX_RESULTS if k is None else k)
+    return rows if k is None else rows.limit(k)
 
 
 def search(index: Index, query: str | Bm25Query, k: int | None = 10, offset: int = 0, tenant: int | None = None, partition=None, language: str | None = None,

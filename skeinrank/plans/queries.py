@@ -75,8 +75,8 @@ sc AS (SELECT q.id, tf.doc_id{', tf.scope' if scope else ''}, sum(ln(1 + (n - df
 r AS (SELECT id, doc_id{', scope' if scope else ''}, round(CASE WHEN s > 0 THEN -s ELSE 0.0 END, {DIGITS}) AS score FROM sc)"""
 
 
-def top(text: str, k: int = 10, offset: int = 0, where: str = "", join: str = "", source: str | None = None, k1: float = 1.2, b: float = 0.75) -> str:
-    return f"WITH {source or corpus()}, {literal_query(text)}, {scored(k1, b)} SELECT doc_id, score FROM r {join} {where} ORDER BY score, doc_id LIMIT {k}" + (f" OFFSET {offset}" if offset else "")
+def top(text: str, k: int | None = 10, offset: int = 0, where: str = "", join: str = "", source: str | None = None, k1: float = 1.2, b: float = 0.75) -> str:
+    return f"WITH {source or corpus()}, {literal_query(text)}, {scored(k1, b)} SELECT doc_id, score FROM r {join} {where} ORDER BY score, doc_id" + (f" LIMIT {k}" if k is not None else "") + (f" OFFSET {offset}" if offset else "")
 
 
 QUERIES: dict[str, Query] = {}
@@ -124,7 +124,7 @@ _add("search_b_zero", lambda s, d: search(_index(s, d), TWO, b=0.0), top(TWO, b=
 _add("search_offset", lambda s, d: search(_index(s, d), TWO, k=10, offset=5), top(TWO, offset=5))
 _add("search_limit_zero", lambda s, d: search(_index(s, d), TWO, k=0), top(TWO, k=0))
 _add("search_default_limit", lambda s, d: search(_index(s, d), ONE, k=1000), top(ONE, k=1000))
-_add("search_unlimited", lambda s, d: search(_index(s, d), ONE, k=None), top(ONE, k=100_000))
+_add("search_unlimited", lambda s, d: search(_index(s, d), ONE, k=None), top(ONE, k=None))
 
 
 def _filtered(lang: str, before: bool) -> Query:
@@ -144,7 +144,7 @@ def _filtered(lang: str, before: bool) -> Query:
 _IN_EN = "WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
 _add("search_prefilter_lang", _filtered("en", True), top(TWO, where=_IN_EN))
 _add("search_postfilter_lang", _filtered("en", False), top(TWO, where=_IN_EN))
-_add("search_threshold", lambda s, d: search(_index(s, d), TWO, k=None, threshold=-1.0), top(TWO, k=100_000, where="WHERE score < -1.0"))
+_add("search_threshold", lambda s, d: search(_index(s, d), TWO, k=None, threshold=-1.0), top(TWO, k=None, where="WHERE score < -1.0"))
 
 # ---- scores of all rows
 

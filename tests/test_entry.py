@@ -36,10 +36,14 @@ def test_against_sql(spark, name):
     assert order(got).equals(order(want)) or (order(got) == order(want)).all().all()
 
 
-def test_import_without_the_optional_parts(tmp_path):
-    """The entry module and the engine's queries work where the optional folder and the pipeline file are gone."""
-    for p in ("__spark_entry__.py", "skeinrank"):
-        subprocess.run(["cp", "-r", str(ROOT / p), str(tmp_path / p)], check=True)
-    subprocess.run(["rm", "-rf", str(tmp_path / "skeinrank" / "llm")], check=True)
+@pytest.mark.parametrize("gone", [("skeinrank/llm", "tests/llm"), ("skeinrank/llm", "tests/llm", "corpus_pipeline.py")])
+def test_import_without_the_optional_parts(tmp_path, gone):
+    """A copy of everything without the optional folders (and the pipeline file) imports, and its queries are the engine's."""
+    for p in ROOT.iterdir():
+        if not p.name.startswith("."):
+            subprocess.run(["cp", "-r", str(p), str(tmp_path / p.name)], check=True)
+    for p in gone:
+        subprocess.run(["rm", "-rf", str(tmp_path / p)], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'search_two_terms' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q), q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, check=True)
+    subprocess.run([sys.executable, "-B", "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, check=True, stdout=subprocess.DEVNULL)

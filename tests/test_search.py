@@ -224,3 +224,8 @@ def test_metrics(spark):
     assert get(metrics.recall_at_k(ranking, qrels, 2), "recall") == {1: 0.5, 2: 0.0}
     assert get(metrics.reciprocal_rank(ranking, qrels, 2), "rr") == {1: 0.5, 2: 0.0}
     assert get(metrics.ndcg_at_k(ranking, qrels, 2), "ndcg")[1] == pytest.approx((1 / 1.58496) / (1 + 1 / 1.58496), abs=1e-4)
+
+
+def test_no_limit_means_every_match(spark):
+    many = spark.range(120_000).select(F.col("id").alias("doc_id"), F.lit("same words").alias("content"))
+    assert search(build(many, IndexSpec("i", "content", "simple")), "same", k=None).count() == 120_000
