@@ -35,5 +35,5 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def frame(spark, rows, **more):
-    full = [(i, t, ("en", "de", None)[i % 3], ("s1", "s2", None, "s1")[i % 4], None if t is None else len(t)) for i, t in rows]
+    full = [(i, t, ("en", "de", None)[(i or 0) % 3], ("s1", "s2", None, "s1")[(i or 0) % 4], None if t is None else len(t)) for i, t in rows]
     return spark.createDataFrame(full, SCHEMA)

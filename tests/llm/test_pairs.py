@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -120,7 +121,7 @@ def bench_words(text):
 
 
 def brute_hits(rows, items, k=10):
-    out = {}
+    out = []
     for i, t in rows:
         w, hit, found = bench_words(t), set(), []
         for item, text in items:
@@ -130,24 +131,43 @@ def brute_hits(rows, items, k=10):
             at = [j for j in range(len(w) - size + 1) if tuple(w[j : j + size]) in grams] if grams else []
             hit |= {j + y for j in at for y in range(size)}
             found += [item] if at else []
-        ids = ",".join(sorted(map(str, found)))
-        out[i] = (len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit))
+        ids = ",".join(sorted(str(x) for x in found if x is not None))
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)))
     return out
 
 
 @pytest.mark.parametrize("block", [16_000_000, 600])
 def test_decontamination(spark, monkeypatch, block):
+    """Rows that repeat a doc_id, or have none, each have their own result, whatever the size of the benchmark."""
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
     rows = documents(6)
     long_ = next(t for _, t in rows if t and len(t) > 20_000).split()
-    items = [(1, " ".join(long_[50:75])), (2, " ".join(long_[60:68])), (3, "one"), (10, "One, TWO!"), (4, None), (5, "..."), (6, rows[0][1]), (7, " ".join(long_[3000:3030])), (8, " ".join(long_[3005:3016]))]
+    rows += [(None, None), (None, " ".join(long_[48:80])), (None, "one"), (rows[0][0], "nothing here"), (rows[0][0], rows[0][1]), (rows[0][0], rows[0][1])]
+    same = "same same " * 40
+    rows += [(900, same), (901, "same " * 9), (902, "x " + same)]
+    items = [(1, " ".join(long_[50:75])), (2, " ".join(long_[60:68])), (3, "one"), (10, "One, TWO!"), (4, None), (5, "..."), (6, rows[0][1]), (7, " ".join(long_[3000:3030])), (8, " ".join(long_[3005:3016])),
+             (11, " ".join(long_[52:62])), (12, "same " * 12), (None, " ".join(long_[10:30]))]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
-    got = {r[0]: tuple(r)[1:] for r in decontamination.digest(decontamination.scan(frame(spark, rows), bench)).collect()}
+    order = lambda x: sorted(x, key=repr)
+    got = [tuple(r) for r in decontamination.digest(decontamination.scan(frame(spark, rows), bench)).collect()]
     want = brute_hits(rows, items)
-    assert got == want
-    kept = {r["doc_id"] for r in decontamination.drop_contaminated(frame(spark, rows), bench).collect()}
-    assert kept == {i for i, w in want.items() if not w[4]}
+    assert order(got) == order(want)
+    kept = [r["doc_id"] for r in decontamination.drop_contaminated(frame(spark, rows), bench).collect()]
+    assert order(kept) == order([w[0] for w in want if not w[5]])
     assert decontamination.scan(frame(spark, rows), bench.where("false")).where("size(items) > 0").count() == 0
+    assert decontamination.scan(frame(spark, []), bench).count() == 0
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 7])
+def test_other_windows(window):
+    r = random.Random(window)
+    items = [(i, " ".join(r.choice("abc") for _ in range(r.choice((1, 2, 5, 9))))) for i in range(12)]
+    matcher = decontamination.Matcher(items, window)
+    for _ in range(60):
+        text = " ".join(r.choice("abcd") for _ in range(30))
+        ranges, found = matcher.match(decontamination.words_of(text))
+        (_, _, n_hit, n_items, _, _), = brute_hits([(0, text)], items, window)
+        assert (sum(b - a for a, b in ranges), len(found)) == (n_hit, n_items)
 
 
 def test_spans_map_to_the_original(spark):
