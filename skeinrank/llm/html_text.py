@@ -1,18 +1,24 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of one host are ordered by URL path; each is paired with its nearest neighbours in that order.  The text
-lines of a pair are aligned by longest common subsequence and the shared lines, which belong to the template, are deleted.
-
-Differencing alone would delete article paragraphs that two pages really share and keep what a template
-varies from page to page (a rotated advert, a footer with the date), so two rules of structure go with it:
-elements that say they are navigation, adverts, forms, comments and the like are left out before pages are
-compared, and paragraphs inside an explicit article (an article or main element, or one that is named so) are never deleted as shared.  A neighbour
-that shares most of a page is a copy of it, not a sample of the template; then the next neighbour is taken.
-
-Scale: only keys (host, path, id) are range-sorted, so one host may span many tasks; neighbours across a
-task boundary come from the 2 boundary rows of each task.  Line hashes travel to neighbours, and the html is
-shuffled once.  Edge cases: null or empty html and pages without text give empty text; null and relative
-urls share the empty host; equal urls tie by page_id; rows that repeat a page_id are extracted each; a
+Pages of one host are ordered by URL path; each is paired with the nearest pages in that order whose lines differ from
+its own.  All text lines of a pair, menus and footers among them, are aligned by longest common subsequence, and the shared
+lines, which belong to the template, are deleted.
+
+What differencing can't know is settled by structure.  A paragraph inside an explicit article (an article or main element,
+or one that is named so) stays although a neighbour shares it, for articles do share passages.  A line that no neighbour shares goes
+where its element says that it is navigation, an advert, a form, a comment and the like, for templates rotate adverts
+and print dates; on a page with an explicit article what is outside of it goes as well.  Names that also fit articles ("search",
+"notice", "related") count only where the element holds less text than the rest of the page.  A neighbour that shares most of a page
+is a copy of it, not a sample of the template; then further ones are taken, SIDE on either side, and of nothing but such
+neighbours the one that shares least.
+
+Scale: pages of a host with equal lines are one entry in the order.  Entries carry hashes of their lines and are
+range-sorted, so one host may span many tasks, each of which aligns its own entries; only entries at the edges of a
+task are aligned again with those of the next.  Results travel to the rows by a hash of host and lines, and the
+kept text of each row is shuffled once, compressed.
+
+Edge cases: null or empty html and pages without text give empty text; null and relative urls share the empty
+host; equal urls tie by the hash of their lines; rows that repeat a page_id, or have none, are extracted each; a
 page alone on its host is only filtered by structure; extra columns are ignored; an empty table gives an
 empty result.
 """
@@ -24,26 +30,32 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import arrowtext as at
 from .workspace import Workspace, partitions
 
 # Element names by their part in a page, and the words that name template parts in class, id and role.
 RAW = frozenset("script style title textarea xmp noembed noframes".split())
-SKIPPED = frozenset("head nav aside form button select option iframe noscript svg canvas template object audio video dialog menu fieldset label input datalist script style title textarea".split())
+#: Without text of the page, and template parts by their kind.
+HIDDEN = frozenset("head select option iframe noscript svg canvas template object audio video datalist".split())
+TEMPLATE = frozenset("nav aside form button dialog menu fieldset label footer".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption".split())
 TEMPLATE_WORDS = frozenset(
-    "ad ads adv advert advertisement adverts adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "sidebar widget widgets related recommended recommendations share sharing social footer masthead cookie cookies consent gdpr notice alert popup modal overlay "
-    "newsletter subscribe subscription signup login comment comments disqus reply replies pagination pager toolbar skip copyright complementary contentinfo search".split()
+    "ad ads adv advert advertisement adverts adsense sponsor sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer masthead "
+    "cookie cookies consent gdpr newsletter subscribe subscription signup login comment comments disqus pagination pager contentinfo".split()
 )
+#: Words that an article's own element may have in its name as well.
+DOUBTFUL_WORDS = frozenset("promo promotion banner widget widgets related recommended recommendations share sharing social notice alert popup modal overlay reply replies toolbar skip copyright complementary search".split())
 #: Class and id values of elements that hold an article where there is no article element.
 CONTENT_NAMES = frozenset(
     "content main article post entry hentry story main-content maincontent page-content post-content entry-content article-content story-content "
@@ -60,29 +72,37 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _is_template(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is left out for what it says it is."""
-    if name in SKIPPED:
-        return True
-    if name == "footer" or (name == "header" and not in_article):
-        return True
+#: What an element says of itself.
+NOTHING, DOUBTFUL, CERTAIN, UNSEEN = range(4)
+
+
+def _says(name: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is a part of the template or isn't shown at all, by what it says it is."""
+    if name in HIDDEN:
+        return UNSEEN
+    found = NOTHING
+    if name in TEMPLATE or (name == "header" and not in_article):
+        found = CERTAIN
     if not attributes or name in ("html", "body", "article", "main") and "comment" not in attributes:
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         if m[5]:
-            return True
+            return UNSEEN
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id", "role"):
             words = {w.lower() for w in _WORD.findall(value)}
-            if words & TEMPLATE_WORDS and not (in_article and words & HEADER_WORDS):
-                return True
-            if words & HEADER_WORDS and not in_article:
-                return True
+            if words & HEADER_WORDS:
+                if not in_article:
+                    found = CERTAIN
+            elif words & TEMPLATE_WORDS:
+                found = CERTAIN
+            elif words & DOUBTFUL_WORDS:
+                found = max(found, DOUBTFUL)
         elif key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return UNSEEN
         elif key == "hidden":
-            return True
-    return False
+            return UNSEEN
+    return found
 
 
 def _holds_content(name: str, attributes: str) -> bool:
@@ -98,36 +118,52 @@ def _holds_content(name: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, inside an element that holds an article, in a paragraph-like element) of each block that structure keeps, in page order."""
-    out: list[tuple[str, bool, bool]] = []
+class Line:
+    """A block's text, and whether structure calls it a part of the template, inside an article's element and inside a paragraph."""
+
+    __slots__ = ("article", "doubt", "paragraph", "template", "text")
+
+    def __init__(self, text: str, template: bool, doubt: int, article: bool, paragraph: bool) -> None:
+        self.text, self.template, self.doubt, self.article, self.paragraph = text, template, doubt, article, paragraph
+
+
+def lines_of(page: str | None) -> list[Line]:
+    """All lines of a page in page order."""
+    page = page or ""
+    out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements, and whether they start a template part or hold an article
-    skipping = main = article = paragraph = 0
-    at, end = 0, len(page)
+    stack: list[tuple[str, int, bool, bool]] = []  # open elements, what they say, whether as a block, whether they hold an article
+    hidden = template = main = article = paragraph = 0
+    doubtful: list[int] = []  # open doubtful elements, by a number
+    count, at_, end = 0, 0, len(page)
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, main > 0, paragraph > 0))
+                out.append(Line(text, template > 0, doubtful[0] if doubtful else 0, main > 0, paragraph > 0))
 
     def close(depth: int) -> None:
-        nonlocal skipping, main, article, paragraph
+        nonlocal hidden, template, main, article, paragraph
         while len(stack) > depth:
-            name, template, holds = stack.pop()
-            skipping -= template
+            name, says, block, holds = stack.pop()
+            if says == UNSEEN or says and not block:
+                hidden -= 1
+            elif says == CERTAIN:
+                template -= 1
+            elif says == DOUBTFUL:
+                doubtful.pop()
             main -= holds
             article -= name in ("article", "main")
             paragraph -= name in PARAGRAPH
 
     for m in _TAG.finditer(page):
-        if m.start() < at:
+        if m.start() < at_:
             continue
-        if m.start() > at and not skipping:
-            parts.append(page[at : m.start()])
-        at = m.end()
+        if m.start() > at_ and not hidden:
+            parts.append(page[at_ : m.start()])
+        at_ = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
@@ -143,13 +179,13 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                     break
             continue
         if name in RAW:
-            stop = re.compile(rf"</{name}[\s/>]", re.IGNORECASE).search(page, at)
-            at = stop.start() if stop else end
-            shut = page.find(">", at)
-            at = end if shut < 0 or not stop else shut + 1
+            stop = re.compile(rf"</{name}[\s/>]", re.IGNORECASE).search(page, at_)
+            at_ = stop.start() if stop else end
+            shut = page.find(">", at_)
+            at_ = end if shut < 0 or not stop else shut + 1
             continue
         if name == "br":
-            if not skipping:
+            if not hidden:
                 parts.append(" ")
             continue
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
@@ -162,24 +198,44 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                     break
                 if other in BLOCK:
                     break
-        template, holds = _is_template(name, attributes, article > 0), _holds_content(name, attributes)
-        stack.append((name, template, holds))
-        skipping += template
+        says, holds = _says(name, attributes, article > 0), _holds_content(name, attributes)
+        block = name in BLOCK
+        stack.append((name, says, block, holds))
+        if says == UNSEEN or says and not block:  # a part of a line, or nothing
+            hidden += 1
+        elif says == CERTAIN:
+            template += 1
+        elif says == DOUBTFUL:
+            count += 1
+            doubtful.append(count)
         main += holds
         article += name in ("article", "main")
         paragraph += name in PARAGRAPH
-    if not skipping and at < end:
-        parts.append(page[at:])
+    if not hidden and at_ < end:
+        parts.append(page[at_:])
     flush()
+    _settle_doubts(out)
     return out
 
 
-def kept_blocks(page: str | None) -> list[tuple[str, bool]]:
-    """(text, protected) of a page's lines: of those in an element that holds an article, if there is one with text."""
-    found = blocks(page or "")
-    if any(inside for _, inside, _ in found):
-        return [(t, p) for t, inside, p in found if inside]
-    return [(t, False) for t, _, _ in found]
+def _settle_doubts(lines: list[Line]) -> None:
+    """A doubtful element is the template's unless it holds more text than the rest of the page."""
+    size: dict[int, int] = {}
+    for x in lines:
+        if not x.template:
+            size[x.doubt] = size.get(x.doubt, 0) + len(x.text)
+    total = sum(size.values())
+    for x in lines:
+        if x.doubt and 2 * size.get(x.doubt, 0) <= total:
+            x.template = True
+
+
+def kept_lines(lines: list[Line]) -> list[tuple[int, str, bool]]:
+    """(index, text, protected) of the lines that structure has nothing against: of an article's element, if there is one with text."""
+    own = [(i, x) for i, x in enumerate(lines) if not x.template]
+    if any(x.article for _, x in own):
+        return [(i, x.text, x.paragraph) for i, x in own if x.article]
+    return [(i, x.text, False) for i, x in own]
 
 
 def line_hashes(lines: list[str]) -> list[int]:
@@ -209,72 +265,183 @@ def shared_lines(mine: list[int], other: list[int]) -> set[int]:
     return out
 
 
-#: A neighbour that shares more of a page's characters than this is a copy of it.
-COPY_SHARE = 0.6
+#: Pages on either side that a page may be compared with.
+SIDE = 2
+#: A neighbour that shares more of a page's characters than this is a copy of it; one that shares more than MOST tells nothing.
+COPY_SHARE, MOST = 0.6, 0.9
+
+
+def template_lines(hashes: list[int], sizes: list[int], neighbours: list[list[int]]) -> set[int]:
+    """Indices of the lines that the nearest neighbour that isn't a copy shares (neighbours come nearest first)."""
+    total, best = sum(sizes), (MOST, set())
+    for other in neighbours:
+        shared = shared_lines(hashes, other)
+        share = sum(sizes[i] for i in shared) / max(total, 1)
+        if share <= COPY_SHARE:
+            return shared
+        if share <= best[0]:
+            best = (share, shared)
+    return best[1]
 
 
 def main_text(page: str | None, neighbours: list[list[int]]) -> str:
-    """The page's lines without what the nearest neighbour that isn't a copy shares with it."""
-    lines = kept_blocks(page)
-    if neighbours and not all(p for _, p in lines):
-        hashes, total = line_hashes([t for t, _ in lines]), sum(len(t) for t, _ in lines)
-        for other in neighbours:
-            shared = shared_lines(hashes, other)
-            if sum(len(lines[i][0]) for i in shared) <= COPY_SHARE * total:
-                lines = [x for i, x in enumerate(lines) if x[1] or i not in shared]
-                break
-    return "\n".join(t for t, _ in lines)
-
-
-def _hash_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A page's text, given the line hashes of its neighbours."""
+    lines = lines_of(page)
+    gone = template_lines(line_hashes([x.text for x in lines]), [len(x.text) for x in lines], neighbours) if neighbours else ()
+    return "\n".join(t for i, t, protected in kept_lines(lines) if protected or i not in gone)
+
+
+def host_and_path(url: str | None) -> tuple[str, str]:
+    """Lower-cased host without port (empty for relative and broken urls), and path with query."""
+    try:
+        parts = urlsplit(url or "")
+        return (parts.hostname or "", parts.path + (f"?{parts.query}" if parts.query else ""))
+    except ValueError:
+        return "", url or ""
+
+
+def _entry(host: str, hashes: list[int]) -> int:
+    """A hash of a host and a page's lines: pages of a host with equal lines are one entry."""
+    packed = np.array(hashes, np.uint64).tobytes()
+    return int.from_bytes(blake2b(host.encode("utf-8", "surrogatepass") + b"\0" + packed, digest_size=8).digest(), "little", signed=True)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with text as (entry, host, path, line hashes, line sizes)."""
     for batch in batches:
-        out = [np.array(line_hashes([t for t, _ in kept_blocks(x.as_py())]), dtype=np.uint64).tobytes() for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["other_id", "lines"])
+        rows = []
+        for url, page in zip(batch.column(0), batch.column(1), strict=True):
+            lines = [x.text for x in lines_of(page.as_py())]
+            if lines:
+                host, path = host_and_path(url.as_py())
+                hashes = line_hashes(lines)
+                rows.append((_entry(host, hashes), host, path, np.array(hashes, np.uint64).tobytes(), at.pack(np.array([len(t) for t in lines], np.uint64))))
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["entry", "host", "path", "lines", "sizes"])
+
+
+ENTRY = "entry long, host string, path string, lines binary, sizes binary"
+
+
+def _nearest(keys: list[tuple[str, str]], i: int, start: int = 0) -> list[int]:
+    """Positions of the pages around i on its host (keys are sorted host and path), nearest path first: most segments in common, then least distance."""
+    host, own = keys[i][0], keys[i][1].split("/")
+    found = []
+    for j in range(max(start, i - SIDE), min(len(keys), i + SIDE + 1)):
+        if j != i and keys[j][0] == host:
+            alike = sum(x == y for x, y in zip(own, keys[j][1].split("/"), strict=False))
+            found.append((-alike, abs(j - i), j))
+    return [j for _, _, j in sorted(found)]
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sorted partition's keys with the previous and next key, and whether a row is at its edge."""
-    held = list(batches)
-    table = pa.Table.from_batches(held) if held else None
-    if table is None or not table.num_rows:
-        return
-    n, keys = table.num_rows, {k: table.column(k).to_pylist() for k in ("host", "path", "page_id")}
-    data = {"part": [TaskContext.get().partitionId()] * n, "edge": [(1 if i == 0 else 0) + (2 if i == n - 1 else 0) for i in range(n)], **keys}
-    data |= {f"prev_{k}": [None, *v[:-1]] for k, v in keys.items()} | {f"next_{k}": [*v[1:], None] for k, v in keys.items()}
-    yield from pa.table(data, schema=pa.schema([(c, pa.int32() if c in ("part", "edge") else pa.int64() if c.endswith("page_id") else pa.string()) for c in data])).to_batches(max_chunksize=10_000)
+def _gone(hashes: bytes, sizes: bytes, others: list[bytes]) -> bytes | None:
+    """The indices of a page's template lines, packed; None if there are none."""
+    read = lambda x: np.frombuffer(x, np.uint64).tolist()
+    found = template_lines(read(hashes), at.unpack(sizes).tolist(), [read(x) for x in others]) if others else ()
+    return at.pack_sorted(np.array(sorted(found), np.uint64)) if found else None
 
 
-def nearest(ws: Workspace, keys: DataFrame) -> DataFrame:
-    """(page_id, other_id, rank): the one or two neighbours of each page in its host's order of paths, nearest path first.
+#: Rows at either end of a task that leave it with their lines: an edge's neighbours are among them.
+REACH = 2 * SIDE
+DECIDED = f"part int, place int, left int, gone binary, {ENTRY}"
 
-    The order is (host, path, page_id) over the whole table and doesn't depend on how rows are dealt.
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted task's entries with their template lines.
+
+    Entries within SIDE of an end are undecided, and those within REACH come with their keys and lines.  Only the
+    rows around the current one are held.
+    """
+    part, held, first, total = TaskContext.get().partitionId(), [], 0, 0
+    names = [x.split()[0] for x in DECIDED.split(", ")]
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
+
+    def out(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def row(place: int, left: int) -> tuple:
+        entry, host, path, lines, sizes = held[place - first]
+        if place < SIDE or left < SIDE:
+            return (part, place, left, None, entry, host, path, lines, sizes)
+        keys = [(x[1], x[2]) for x in held[place - first - SIDE : place - first + SIDE + 1]]
+        gone = _gone(lines, sizes, [held[place - first - SIDE + j][3] for j in _nearest(keys, SIDE)])
+        if place < REACH or left < REACH:
+            return (part, place, left, gone, entry, host, path, lines, sizes)
+        return (part, place, left, gone, entry, None, None, None, None)
+
+    ready, done = [], 0
+    for batch in batches:
+        for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append(values)
+            total += 1
+            if total - done > REACH:  # so many follow: whatever comes, this one isn't at the end
+                ready.append(row(done, REACH))
+                done += 1
+                while first < done - SIDE:
+                    held.pop(0)
+                    first += 1
+            if len(ready) >= 1000:
+                yield out(ready)
+                ready = []
+    ready += [row(place, total - 1 - place) for place in range(done, total)]
+    if ready:
+        yield out(ready)
+
+
+def decisions(ws: Workspace, entries: DataFrame) -> DataFrame:
+    """(entry, gone) of the entries that have template lines.
+
+    The order is (host, path, entry) over the whole table and doesn't depend on how rows are dealt.
     """
-    spark = keys.sparkSession
-    order = ["host", "path", "page_id"]
-    ordered = keys.distinct().repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    key = lambda p: f"{p}host string, {p}path string, {p}page_id long"
-    found = ws.save(ordered.mapInArrow(_neighbours, f"part int, edge int, {key('')}, {key('prev_')}, {key('next_')}"), "order")
-    edges = found.where("edge > 0").select("part", *order, "edge").orderBy(*order).collect()  # two rows a task at most
-    fixes = []
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if a["part"] != b["part"]:
-            fixes.append((a["page_id"], a["host"], a["path"], b["page_id"], b["host"], b["path"]))
-    fixed = spark.createDataFrame(fixes, "a long, a_host string, a_path string, b long, b_host string, b_path string")
-    pair = lambda side: found.where(f"{side}_page_id is not null").select("page_id", "host", "path", F.col(f"{side}_page_id").alias("other_id"), F.col(f"{side}_host").alias("o_host"), F.col(f"{side}_path").alias("o_path"))
-    across = fixed.select(F.col("a").alias("page_id"), F.col("a_host").alias("host"), F.col("a_path").alias("path"), F.col("b").alias("other_id"), F.col("b_host").alias("o_host"), F.col("b_path").alias("o_path"))
-    back = fixed.select(F.col("b").alias("page_id"), F.col("b_host").alias("host"), F.col("b_path").alias("path"), F.col("a").alias("other_id"), F.col("a_host").alias("o_host"), F.col("a_path").alias("o_path"))
-    every = pair("prev").unionByName(pair("next")).unionByName(across).unionByName(back).where("host = o_host and page_id <> other_id")
-    a, b = F.split("path", "/"), F.split("o_path", "/")
-    alike = F.size(F.array_compact(F.zip_with(a, b, lambda x, y: F.when(x == y, x))))
-    return every.select("page_id", "other_id", (-alike).alias("rank"))
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = entries.sparkSession
+    order = ["host", "path", "entry"]
+    once = entries.groupBy("entry").agg(F.min(F.struct("host", "path", "lines", "sizes")).alias("m")).select("entry", "m.host", "m.path", "m.lines", "m.sizes")
+    ordered = once.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    found = ws.save(ordered.mapInArrow(_decide, DECIDED), "order")
+    near = found.where(f"place < {REACH} or left < {REACH}")
+    ends = near.select(*order, "part", "place", "left").orderBy(*order).collect()  # 2 * REACH rows a task at most
+    keys, again = [(r["host"], r["path"]) for r in ends], []
+    for i, r in enumerate(ends):
+        if r["place"] < SIDE or r["left"] < SIDE:
+            again += [(r["entry"], n, ends[j]["entry"]) for n, j in enumerate(_nearest(keys, i))]
+    pairs = spark.createDataFrame(again, "entry long, n int, other long")
+    lines = near.select("entry", "lines", "sizes")
+    others = pairs.join(lines.select(F.col("entry").alias("other"), F.col("lines").alias("o")), "other").groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("n", "o"))).alias("others"))
+    edge = lines.join(others, "entry").select("entry", "lines", "sizes", F.col("others.o").alias("others")).mapInArrow(_decide_edges, "entry long, gone binary")
+    return found.where("gone is not null").select("entry", "gone").unionByName(edge.where("gone is not null"))
+
+
+def _decide_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        gone = [_gone(*x) for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.binary())], names=["entry", "gone"])
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their entry and, compressed, the lines that structure has nothing against: indices, protection and texts."""
+    for batch in batches:
+        entries, blobs = [], []
+        for url, page in zip(batch.column(1), batch.column(2), strict=True):
+            lines = lines_of(page.as_py())
+            kept = kept_lines(lines)
+            entries.append(_entry(host_and_path(url.as_py())[0], line_hashes([x.text for x in lines])) if lines else None)
+            index = at.pack_sorted(np.array([i for i, _, _ in kept], np.uint64))
+            shield = np.array([p for _, _, p in kept], bool).tobytes()
+            blobs.append(at.join_blobs([index, shield, zstandard.compress("\n".join(t for _, t, _ in kept).encode("utf-8", "surrogatepass"), 3)]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(entries, pa.int64()), pa.array(blobs, pa.binary())], names=["page_id", "url", "entry", "kept"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for page, others in zip(batch.column(2), batch.column(3), strict=True):
-            found = [np.frombuffer(x, np.uint64).tolist() for x in others.as_py() or ()]
-            texts.append(main_text(page.as_py(), found))
+        for blob, gone in zip(batch.column(2), batch.column(3), strict=True):
+            index, shield, data = at.split_blobs(blob.as_py())
+            text = zstandard.decompress(data).decode("utf-8", "surrogatepass") if data else ""
+            if gone.is_valid:
+                out, protected = np.isin(at.unpack_sorted(index), at.unpack_sorted(gone.as_py())), np.frombuffer(shield, bool)
+                text = "\n".join(t for t, o, p in zip(text.split("\n"), out, protected, strict=True) if p or not o) if len(out) else ""
+            texts.append(text)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                          names=["page_id", "url", "text", "n_chars"])
 
@@ -282,16 +449,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of each page row."""
     ws = Workspace(pages.sparkSession, "html")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    url = F.coalesce("url", F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    path = F.regexp_replace(F.regexp_replace(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*", ""), r"#.*$", "")
-    keys = rows.where("page_id is not null").select(host.alias("host"), path.alias("path"), "page_id")
-    pairs = nearest(ws, keys)
-    lines = rows.where("page_id is not null").select("page_id", "html").mapInArrow(_hash_pages, "other_id long, lines binary").groupBy("other_id").agg(F.min("lines").alias("lines"))
-    near = pairs.join(lines, "other_id").groupBy("page_id").agg(F.array_sort(F.collect_set(F.struct("rank", "other_id", "lines"))).alias("o"))
-    others = near.select("page_id", F.col("o.lines").alias("others"))
-    return rows.join(others, "page_id", "left").select("page_id", "url", "html", "others").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    kind = pages.schema[id_col].dataType.simpleString()
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    decided = decisions(ws, rows.select("url", "html").mapInArrow(_entries, ENTRY))
+    kept = rows.mapInArrow(_kept, f"page_id {kind}, url string, entry long, kept binary")
+    return kept.join(decided, "entry", "left").select("page_id", "url", "kept", "gone").mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

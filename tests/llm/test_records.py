@@ -263,6 +263,76 @@ def test_shared_lines_of_neighbours_go(spark):
     assert again == got and html_text.extract(df.where("false")).count() == 0
 
 
+def brute_shared(mine, other):
+    """Lines of mine in a longest common subsequence, and its length, by the quadratic table."""
+    table = [[0] * (len(other) + 1) for _ in range(len(mine) + 1)]
+    for i in reversed(range(len(mine))):
+        for j in reversed(range(len(other))):
+            table[i][j] = table[i + 1][j + 1] + 1 if mine[i] == other[j] else max(table[i + 1][j], table[i][j + 1])
+    return table[0][0]
+
+
+def brute_texts(rows):
+    """Every page against the nearest pages of its host, without hashes, tasks or edges."""
+    lines = [html_text.lines_of(h) for _, _, h in rows]
+    texts = [tuple(x.text for x in ls) for ls in lines]
+    place = {}
+    for (_, url, _), t in zip(rows, texts, strict=True):
+        host, path = html_text.host_and_path(url)
+        if t:
+            place[host, t] = min(place.get((host, t), path), path)
+    hashed = {(h, t): html_text._entry(h, html_text.line_hashes(list(t))) for h, t in place}
+    order = sorted(place, key=lambda k: (k[0], place[k], hashed[k]))
+    out = []
+    for (_, url, _), ls, t in zip(rows, lines, texts, strict=True):
+        host, gone = html_text.host_and_path(url)[0], set()
+        if t:
+            n = order.index((host, t))
+            near = [j for j in range(n - 2, n + 3) if j != n and 0 <= j < len(order) and order[j][0] == host]
+            alike = lambda j: sum(a == b for a, b in zip(place[order[j]].split("/"), place[order[n]].split("/"), strict=False))
+            near.sort(key=lambda j: (-alike(j), abs(j - n), j))
+            tried = []
+            for j in near:
+                shared = html_text.shared_lines(list(t), list(order[j][1]))
+                assert len(shared) == brute_shared(t, order[j][1])
+                share = sum(len(t[i]) for i in shared) / sum(map(len, t))
+                tried.append((share, shared))
+                if share <= 0.6:
+                    break
+            good = [x for x in tried if x[0] <= 0.6] or sorted((x for x in tried if x[0] <= 0.9), key=lambda x: x[0])
+            for share, shared in tried:
+                if good and share == good[0][0]:
+                    gone = shared
+        out.append("\n".join(x for i, x, protected in html_text.kept_lines(ls) if protected or i not in gone))
+    return out
+
+
+def random_pages(seed, n=60):
+    r = random.Random(seed)
+    sentence = lambda k: " ".join(r.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(k))
+    menus, rows = {h: [sentence(2) for _ in range(4)] for h in "abc"}, []
+    shared = [sentence(12) for _ in range(3)]
+    for k in range(n):
+        h = r.choice("aaabc")
+        body = [sentence(r.randint(3, 30)) for _ in range(r.randint(0, 4))] + r.sample(shared, r.randint(0, 2))
+        kind = r.choice(("div", "div", "article"))
+        page = "".join(f"<div>{m}</div>" for m in menus[h]) + f"<div class=ad>{sentence(3)}</div><{kind}>" + "".join(f"<p>{x}</p>" for x in body) + f"</{kind}><div>made by {h}</div>"
+        for _ in range(r.choice((1, 1, 1, 4))):  # copies, next to each other in the order of paths
+            rows.append((k if r.random() < 0.9 else None, f"https://{h}.example/{r.randint(1, 4)}/{k:03d}", page))
+    return [*rows, (None, None, None), (3, "//b.example/", "<p>" + "long " * 100_000 + "</p>" + "<div>x y</div>" * 3000), (4, "http://[broken", "<p>x"), (4, "http://[broken", "<p>x")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_differencing_against_brute_force(spark, seed):
+    rows = random_pages(seed)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(((i, u, t) for (i, u, _), t in zip(rows, brute_texts(rows), strict=True)), key=repr)
+    got = lambda d: sorted(((r["page_id"], r["url"], r["text"]) for r in html_text.extract(d).collect()), key=repr)
+    assert got(df) == want
+    assert any("made by" in h and "made by" not in t for (_, _, h), t in zip(rows, brute_texts(rows), strict=True) if h and "<article" not in h)  # differencing decides
+    assert got(df.repartition(9)) == want
+
+
 def test_longest_common_subsequence():
     r = random.Random(1)
     for _ in range(300):
@@ -282,6 +352,8 @@ def test_longest_common_subsequence():
     ("<div class=\"ad\">no<div>no</div></div><div id='cookieNotice'>no</div><div class='shadow'>yes</div>", "yes"),
     ("<div id='page'><header>no</header><div>no</div><div class='post-content'><h2>T</h2><p>x</p><div class='share'>no</div></div><div>no</div></div>", "T\nx"),
     ("<table><tr><td>menu</td><td class='content'><p>x<p>y</td></tr></table>", "x\ny"), ("<div class='post-meta'>by me</div><p>x", "by me\nx"),
+    ("<div class='search-results'><h2>Found</h2><p>a long text that is the page</p></div><div class='search'>no</div>", "Found\na long text that is the page"),
+    ("<div class='notice'>no</div><p>longer than that</p>", "longer than that"), ("a <span class='ad'>no</span> b", "a b"),
     ("plain text", "plain text"), ("", ""), ("<p hidden>no</p><p style='display: none'>no</p>ok", "ok"), ("<a title='x>y'>z</a", "z</a"),
 ])
 def test_structure(page, text):
