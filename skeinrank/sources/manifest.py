@@ -46,6 +46,9 @@ class Folder:
         """Seconds since the epoch."""
         return self._fs.getFileStatus(self.at(name)).getModificationTime() / 1000
 
+    def make(self, name: str) -> None:
+        self._fs.mkdirs(self.at(name))
+
     def delete(self, name: str) -> None:
         self._fs.delete(self.at(name), True)
 
