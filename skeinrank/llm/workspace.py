@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of input (as stored) that one group of an operator should hold, and above which a plan's size isn't believed.
+GROUP_BYTES, UNKNOWN = 16_000_000, 1 << 55
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests, local mode), a temporary folder of this process."""
+    """``spark.checkpoint.dir`` of the session; where it is unset in local mode, a temporary folder of this process.
+
+    A cluster's executors don't see such a folder, so there the setting must be given.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="skein-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -21,18 +32,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for a while."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def shuffles_end_with_the_job(spark: SparkSession):
+    """Shuffle files of a write go when it is done (what it wrote cuts the lineage), not when the driver collects garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 class Workspace:
-    """Named Parquet tables of one operator run.  Written tables cut lineage and survive lost executors."""
+    """Named Parquet tables of one operator run.  Written tables cut lineage and survive lost executors; they go with the session."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        target = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.parquet(path)
+        with shuffles_end_with_the_job(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._skein_path = path
         return out
@@ -41,10 +76,20 @@ class Workspace:
         """Remove a table that nothing reads any more."""
         path = getattr(df, "_skein_path", None)
         if path:
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def groups_for(df: DataFrame, text_col: str, each: int = GROUP_BYTES) -> int:
+    """How many groups a table should be dealt to: one for each ``each`` bytes, and one for each shuffle partition at least.
+
+    The size is that of the files, as the plan knows it; of other inputs the texts' own bytes are summed.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > UNKNOWN:
+        size = int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]) // 2
+    return max(partitions(df.sparkSession), -(-size // each))

@@ -3,7 +3,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from skeinrank.llm import arrowtext as at
 from skeinrank.llm import decontamination, ngram_join, substring_dedup
 from skeinrank.llm.components import components
 from skeinrank.llm.workspace import Workspace
@@ -84,36 +86,59 @@ def brute_dedup(rows, k=13):
         w = plain(t)
         for j in range(len(w) - k + 1):
             g = tuple(w[j : j + k])
-            first[g] = min(first.get(g, i), i)
-    out = {}
+            if i is not None:
+                first[g] = min(first.get(g, i), i)
+    out = []
     for i, t in rows:
         w = plain(t)
-        gone = {j + x for j in range(len(w) - k + 1) if first[tuple(w[j : j + k])] < i for x in range(k)}
-        out[i] = (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
-    return out
+        gone = {j + x for j in range(len(w) - k + 1) if i is not None and first[tuple(w[j : j + k])] < i for x in range(k)}
+        out.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return sorted(out, key=repr)
+
+
+def removed(df):
+    return sorted((tuple(r)[:4] for r in df.collect()), key=repr)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_substring_dedup(spark, seed):
+    """Rows that repeat a doc_id, or have none, and columns of other names are each told their own."""
     rows = documents(seed)
-    got = {r["doc_id"]: r for r in substring_dedup.dedup(frame(spark, rows)).collect()}
+    some = next(t for _, t in rows if t and len(t) > 2000)
+    rows += [(None, some), (None, None), (None, "a b"), (rows[3][0], some), (rows[3][0], some), (-7, some)]
+    df = frame(spark, rows).withColumn("key", F.lit("k")).withColumn("kept", F.lit(1)).withColumn("blob", F.lit(2))
     want = brute_dedup(rows)
-    assert {i: (r["n_words"], r["n_removed"], r["kept"]) for i, r in got.items()} == want
-    assert all(sum(b - a for a, b in r["removed"]) == r["n_removed"] for r in got.values())
-    digests = {r["doc_id"]: r["kept"] for r in substring_dedup.dedup(frame(spark, rows), digest=True).collect()}
-    assert digests == {i: hashlib.sha256(w[2].encode()).hexdigest() for i, w in want.items()}
+    got = substring_dedup.dedup(df)
+    assert removed(got) == want
+    assert got.where("aggregate(removed, 0L, (a, x) -> a + x[1] - x[0]) <> n_removed").count() == 0
+    assert removed(substring_dedup.dedup(df, digest=True)) == sorted(((*w[:3], hashlib.sha256(w[3].encode()).hexdigest()) for w in want), key=repr)
     assert substring_dedup.dedup(frame(spark, rows).where("false")).count() == 0
 
 
-def test_incremental_index_equals_one_pass(spark):
-    """Batches in order of doc_id see what one pass sees; runs are compacted on the way."""
-    rows = sorted(documents(4, 25))
-    index = substring_dedup.FingerprintIndex(spark, fanout=2)
-    got = {}
-    for part in (rows[:20], rows[20:30], rows[30:31], rows[31:]):
-        got |= {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in index.ingest(frame(spark, part)).collect()}
-    assert got == brute_dedup(rows)
-    assert len(index.levels) >= 3 and all(len(x) < 2 for x in index.levels)
+def test_incremental_index_equals_one_pass(spark, tmp_path):
+    """Batches in order of doc_id see what one pass sees; runs are compacted on the way, and the folder is enough to go on."""
+    rows, path = sorted(documents(4, 25)), str(tmp_path / "index")
+    got = []
+    for n, part in enumerate((rows[:20], rows[20:30], rows[30:31], rows[31:50], rows[50:])):
+        index = substring_dedup.FingerprintIndex(spark, path, fanout=2)
+        result = removed(index.ingest(frame(spark, part), batch=f"b{n}"))
+        assert removed(substring_dedup.FingerprintIndex(spark, path).ingest(frame(spark, part), batch=f"b{n}")) == result  # again: nothing is added
+        got += result
+        index.compact()
+    assert sorted(got, key=repr) == brute_dedup(rows)
+    assert len(index.levels) >= 3 and all(len(x) < 2 for x in index.levels) and len(index.content["batches"]) == 5
+    live = {n for level in index.levels for n in level}
+    assert live == {n.partition("=")[2] for n in index.folder.names("runs")}
+    with pytest.raises(ValueError, match="compacted"):
+        index.ingest(frame(spark, rows[:20]), batch="b0")
+    plan = index.history().groupBy("key").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan  # history isn't shuffled
+
+
+def test_range_keys_fill_their_buckets():
+    for n in (1, 2, 7, 64, 1000):
+        keys = substring_dedup.range_keys(n)
+        assert len(set(keys.tolist())) == n and len(set(at.group_of(keys, n).tolist())) >= 0.99 * n
 
 
 def bench_words(text):
