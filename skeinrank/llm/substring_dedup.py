@@ -70,7 +70,7 @@ def _keyed(keys: list[int], blobs: list[bytes]) -> pa.RecordBatch:
 
 @functools.lru_cache(maxsize=2)
 def range_keys(ranges: int) -> np.ndarray:
-    """A key for each hash range such that Spark's hash deals each to a bucket of its own."""
+    """A key for each hash range (or group) such that Spark's hash deals each to a bucket of its own."""
     tried = np.arange(ranges * (8 + 2 * ranges.bit_length()), dtype=np.int64)
     bucket, first = np.unique(at.group_of(tried, ranges), return_index=True)
     out = np.full(ranges, -1, np.int64)
@@ -156,7 +156,8 @@ def _ingest(groups: int):
             order = np.argsort(g := at.group_of(docs, groups), kind="stable")
             g, keys, checks, docs = g[order], keys[order], checks[order], docs[order]
             cuts = at.bounds(g) if len(g) else [0]
-            answers = [{"g": int(g[a]), "blob": _run_blob(keys[a:b], checks[a:b], docs[a:b])} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            names = range_keys(groups)
+            answers = [{"g": int(names[g[a]]), "blob": _run_blob(keys[a:b], checks[a:b], docs[a:b])} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         kind = pa.list_(pa.struct([("g", pa.int64()), ("blob", pa.binary())]))
         rows = [[key[0].as_py()], [mine], [answers]] if mine else [[], [], []]
         return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], kind)], names=["key", "run", "answers"])
@@ -229,8 +230,9 @@ def _remove(k: int, digest: bool):
             marks = np.unique(at.mix(keys ^ at.mix(checks ^ at.mix(owners.view(U)))))
         ids = docs.column("doc_id").combine_chunks().cast(pa.int64())
         ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.int64())
-        texts = pa.array([None if x is None else zstandard.decompress(x).decode("utf-8", "replace") if x else "" for x in docs.column("packed").to_pylist()], pa.large_string())
-        return pa.table(_result(ids, _judged(ids.to_numpy(zero_copy_only=False), at.strings(texts), marks, k, digest)), names=_NAMES)
+        open_ = zstandard.ZstdDecompressor().decompress
+        texts = pa.array([open_(x) if x else b"" for x in docs.column("packed").to_pylist()], pa.large_binary())
+        return pa.table(_result(ids, _judged(ids.to_numpy(zero_copy_only=False), texts, marks, k, digest)), names=_NAMES)
 
     return run
 
@@ -253,7 +255,7 @@ def _dealt(groups: int):
         for batch in batches:
             packed = [x.as_py() for x in batch.column(1).cast(pa.large_binary())]
             packed = [None if x is None else squeeze(x) if x else b"" for x in packed]
-            g = at.group_of(batch.column(0).to_numpy(zero_copy_only=False), groups)
+            g = range_keys(groups)[at.group_of(batch.column(0).to_numpy(zero_copy_only=False), groups)]
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), batch.column(0), pa.array(packed, pa.binary())], names=["key", "doc_id", "packed"])
 
     return run
