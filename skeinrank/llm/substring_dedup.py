@@ -35,6 +35,7 @@ from .workspace import Workspace, groups_for, shuffles_end_with_the_job
 WINDOW = 13
 KEY_BITS, CHECK_BITS = 48, 24
 FLUSH = 1_500_000
+MARK_BITS = 24
 U = np.uint64
 KEYED = "key long, blob binary"
 #: A row for each hash range: the batch's own run, and for each group of documents what it must remove.
@@ -44,9 +45,10 @@ RUN = "key long, run binary, answers array<struct<g: long, blob: binary>>"
 def _fingerprints(raw, off, words: at.WordHash, checks: at.WordHash, k: int):
     """Word spans and rows; of each window that is inside one row: its first word, key and check value."""
     starts, ends, rows = at.word_spans(raw, off, at.SPACE)
-    grams = words.windows(words.words(raw, starts, ends), k)
+    hashed = words.words(raw, starts, ends)
+    grams = words.windows(hashed, k)
     own = np.flatnonzero(rows[: len(grams)] == rows[k - 1 :]) if len(grams) else np.zeros(0, np.int64)
-    second = checks.windows(checks.words(raw, starts, ends), k)
+    second = checks.windows(at.mix(hashed ^ checks.base), k)
     return starts, ends, rows, own, grams[own] >> U(64 - KEY_BITS), second[own] >> U(64 - CHECK_BITS)
 
 
@@ -179,12 +181,16 @@ def _judged(ids: np.ndarray, texts: pa.Array, marks: np.ndarray, k: int, digest:
     first, second = at.WordHash(11), at.WordHash(12)
     raw_all, off_all = at.utf8(texts)
     out: tuple[list, ...] = ([], [], [], [])
+    marked = np.zeros(1 << MARK_BITS, bool)  # most windows aren't among the marks and are done here
+    marked[marks >> U(64 - MARK_BITS)] = True
     for a, b in at.slices(off_all):
         raw, off = raw_all[off_all[a] : off_all[b]], off_all[a : b + 1] - off_all[a]
         starts, ends, rows, own, keys, checks = _fingerprints(raw, off, first, second, k)
         covered = np.zeros(len(starts) + 1, np.int64)
         if len(own) and len(marks):
             mine = at.mix(keys ^ at.mix(checks ^ at.mix(ids[a:b][rows[own]].view(U))))
+            some = np.flatnonzero(marked[mine >> U(64 - MARK_BITS)])
+            own, mine = own[some], mine[some]
             where = np.searchsorted(marks, mine)
             where[where == len(marks)] = 0
             hit = own[marks[where] == mine]
