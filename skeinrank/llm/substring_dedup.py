@@ -7,7 +7,7 @@ doc_id is repeated, and its words are removed.  What is new in the batch becomes
 they are compacted into one of the next level.
 
 :class:`FingerprintIndex` keeps runs as partitions of a bucketed table: a new batch is shuffled once, history never is.  Its manifest
-names the live runs, so an index can be opened again by its folder.  :func:`dedup` is one batch through a new index.
+names the live runs, so an index can be opened again by its folder.  :func:`dedup` takes a table through a new index.
 
 Edge cases: null or empty text has no words, loses nothing and keeps the empty string; a text of fewer
 words than the window has no window; windows repeated only within one document stay; documents that
@@ -361,9 +361,24 @@ class FingerprintIndex:
             level += 1
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """REMOVED for each document: kept words joined by one space (their SHA-256 with ``digest``), removed word ranges; one batch through a new index."""
-    return FingerprintIndex(docs.sparkSession, window=window).ingest(docs, id_col, text_col, digest)
+#: Batches that :func:`dedup` deals a table to, in ascending order of doc_id: shuffle files of one at a time are on disk.
+BATCHES = 2
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, batches: int = BATCHES) -> DataFrame:
+    """REMOVED for each row: kept words joined by one space (their SHA-256 with ``digest``), removed word ranges.
+
+    Batches go through a new index.  Their doc_ids ascend, so each is judged by all smaller ids.
+    """
+    index, out, low = FingerprintIndex(docs.sparkSession, window=window), None, None
+    cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [n / batches for n in range(1, batches)])).first()[0] if batches > 1 else []
+    for high in [*sorted(set(cuts or [])), None]:
+        part = docs if low is None else docs.where(F.col(id_col) > low)
+        if high is not None:  # rows without an id go with the first
+            part = part.where((F.col(id_col) <= high) | F.col(id_col).isNull() if low is None else F.col(id_col) <= high)
+        found, low = index.ingest(part, id_col, text_col, digest), high
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,7 +109,7 @@ def test_substring_dedup(spark, seed):
     df = frame(spark, rows).withColumn("key", F.lit("k")).withColumn("kept", F.lit(1)).withColumn("blob", F.lit(2))
     want = brute_dedup(rows)
     got = substring_dedup.dedup(df)
-    assert removed(got) == want
+    assert removed(got) == want == removed(substring_dedup.dedup(df, batches=1)) == removed(substring_dedup.dedup(df, batches=4))
     assert got.where("aggregate(removed, 0L, (a, x) -> a + x[1] - x[0]) <> n_removed").count() == 0
     assert removed(substring_dedup.dedup(df, digest=True)) == sorted(((*w[:3], hashlib.sha256(w[3].encode()).hexdigest()) for w in want), key=repr)
     assert substring_dedup.dedup(frame(spark, rows).where("false")).count() == 0
