@@ -5,7 +5,9 @@ windows, share of upper-case letters) go into mergeable quantile sketches per la
 sketch is a logarithmic histogram with a bounded relative error: bucket counts only add up, so partial
 sketches merge in any order and the same thresholds come out however rows are dealt.  A document is
 rejected where a measure passes the upper fence of its group, or fails the base rule; documents that fail it are
-left out of the sketches.
+left out of the sketches.  The sketch of a source is merged with that of its language, and that with the whole corpus's, each at
+the weight of PRIOR documents: few documents lean on the larger group, many speak for themselves, and there is no size where one
+turns into the other.
 
 Edge cases: null text, language or source are allowed (null keys form groups of their own); a text
 without words has all counts 0 and fails the base rule; equal values tie and share a bucket; repeated
@@ -20,8 +22,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import arrowtext as at
 from .workspace import Workspace
@@ -36,8 +40,8 @@ TAIL, SPREAD = 0.9, 3.0
 #: Most measures are 0 in most clean documents, and a fence may be 0 too: one occurrence (a symbol, a second line, a
 #: second window of 3 words, a capital) is never beyond a fence.
 MEASURES = {"symbol_ratio": ("n_symbols", 1), "dup_line_ratio": ("n_dup_lines", 1), "repeat_ratio": ("n_repeat_words", 6), "upper_ratio": ("n_upper", 1)}
-#: A (language, source) group of fewer documents takes its language's sketch, and that of fewer the whole corpus's.
-LEAST_GROUP = 200
+#: Documents that the sketch of the larger group counts as when it is merged into a group's.
+PRIOR = 200
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 _SYMBOL = at.byte_class([(ord(c), ord(c)) for c in "#*$%&|<>"])
@@ -89,21 +93,27 @@ def measure(raw: np.ndarray, off: np.ndarray, hasher: at.WordHash) -> list[np.nd
     return [n_words, word_chars, symbols, dup_lines, repeat, n_lines, upper, letters]
 
 
-def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = at.WordHash(3)
-    for batch in batches:
-        raw, off = at.utf8(at.strings(batch.column(batch.num_columns - 1)))
-        out = [at_ for at_ in zip(*(measure(raw[off[a] : off[b]], off[a : b + 1] - off[a], hasher) for a, b in at.slices(off)), strict=True)]
-        cols = [np.concatenate(x).astype(np.int64) for x in out] or [np.zeros(0, np.int64)] * len(COUNTS)
-        keep = batch.num_columns - 1
-        yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *map(pa.array, cols)], names=[*batch.schema.names[:keep], *COUNTS])
+def _measure_batches(keep: int, where: tuple[int, str | None]):
+    """COUNTS behind the first ``keep`` columns; the text is a column, or a field of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = at.WordHash(3)
+        for batch in batches:
+            column = batch.column(where[0])
+            raw, off = at.utf8(at.strings(column if where[1] is None else pc.struct_field(column, where[1])))
+            out = [at_ for at_ in zip(*(measure(raw[off[a] : off[b]], off[a : b + 1] - off[a], hasher) for a, b in at.slices(off)), strict=True)]
+            cols = [np.concatenate(x).astype(np.int64) for x in out] or [np.zeros(0, np.int64)] * len(COUNTS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *map(pa.array, cols)], names=[*batch.schema.names[:keep], *COUNTS])
+
+    return run
 
 
 def counts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "lang", "source"), text_col: str = "text") -> DataFrame:
-    """The key columns and COUNTS of each row; map-only."""
-    picked = docs.select(*(F.col(k) for k in keys), F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-1]), *(f"{c} bigint" for c in COUNTS)])
-    return picked.mapInArrow(_measure_batches, schema)
+    """The key columns and COUNTS of each row; map-only.  ``text_col`` may be a field of a key column that is a struct."""
+    outer, _, field = text_col.partition(".")
+    picked = docs.select(*(F.col(k) for k in keys), *(() if field else (F.col(text_col).cast("string").alias("__text"),)))
+    schema = T.StructType([*picked.schema[: len(keys)], *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    return picked.mapInArrow(_measure_batches(len(keys), (keys.index(outer), field) if field else (len(keys), None)), schema)
 
 
 def measures(counted: DataFrame) -> DataFrame:
@@ -141,48 +151,66 @@ def merge(sketches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, n, fence of each measure).  A group has at most a few thousand buckets, so one row gathers them."""
-    rows = sketches.groupBy(*keys, "measure").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("h"))
-    q = lambda p: F.expr(  # noqa: E731  the least bucket at which the running count reaches p of all
-        f"aggregate(h, named_struct('s', 0L, 'b', cast(null as int)), (a, x) -> named_struct('s', a.s + x.n, "
-        f"'b', coalesce(a.b, case when a.s + x.n >= {p} * n then x.bucket end)), a -> a.b)"
-    )
-    found = rows.select(*keys, "measure", "n", q(0.5).alias("mid"), q(TAIL).alias("tail"))
-    fence = bucket_end(F.col("tail")) + SPREAD * (bucket_value(F.col("tail")) - bucket_value(F.col("mid")))
-    return found.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("measure") == m, fence)).alias(f"{m}_fence") for m in MEASURES))
+def histograms(sketches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, measure, h): a sketch in one row, at most a few thousand (bucket, n)."""
+    return sketches.groupBy(*keys, "measure").agg(F.array_sort(F.collect_list(F.struct("bucket", F.col("n").cast("double").alias("n")))).alias("h"))
+
+
+def _total(h: str) -> str:
+    return f"aggregate({h}, 0D, (a, x) -> a + x.n)"
+
+
+def merged_with(own: str, parent: str) -> F.Column:
+    """A histogram and its parent's at the weight of PRIOR documents; either may be null."""
+    none = "cast(array() as array<struct<bucket: int, n: double>>)"
+    share = f"transform(coalesce({parent}, {none}), x -> named_struct('bucket', x.bucket, 'n', x.n * {PRIOR}D / {_total(parent)}))"
+    return F.expr(f"array_sort(concat(coalesce({own}, {none}), {share}))")
+
+
+def fence(h: str) -> F.Column:
+    """The upper fence of a histogram: its TAIL quantile plus SPREAD times the distance to it from the median."""
+    # the least bucket at which the running count reaches p of all (but for the last digits of a sum)
+    q = lambda p: F.expr(f"aggregate({h}, named_struct('s', 0D, 'b', cast(null as int)), (a, x) -> named_struct('s', a.s + x.n, "
+                         f"'b', coalesce(a.b, case when a.s + x.n >= {p}D * {_total(h)} * (1 - 1e-12D) then x.bucket end)), a -> a.b)")
+    return bucket_end(q(TAIL)) + SPREAD * (bucket_value(q(TAIL)) - bucket_value(q(0.5)))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """Fences of each (lang, source): from its own sketch if it has LEAST_GROUP documents, but no wider than its language's; else its language's, or the corpus's."""
+    """Fences of each (lang, source): of its own sketch merged with its language's, but no wider than the language's, which is merged with the corpus's."""
     own = sketch(measured.where("not base_failed"), ("lang", "source"))
-    by_lang, whole = merge(own, ("lang",)), merge(own, ())
-    a, b, c = fences(own, ("lang", "source")), fences(by_lang, ("lang",)), fences(whole, ())
-    names = [f"{m}_fence" for m in MEASURES]
-    a = a.select(F.col("lang").alias("a_lang"), F.col("source").alias("a_source"), F.col("n").alias("a_n"), *(F.col(x).alias(f"a_{x}") for x in names))
-    b = b.select(F.col("lang").alias("b_lang"), F.col("n").alias("b_n"), *(F.col(x).alias(f"b_{x}") for x in names))
-    whole_fence = c.first()  # one row, or none where no document passes the base rule
-    groups = measured.select("lang", "source").distinct()
-    joined = groups.join(a, F.col("lang").eqNullSafe(F.col("a_lang")) & F.col("source").eqNullSafe(F.col("a_source")), "left").join(b, F.col("lang").eqNullSafe(F.col("b_lang")), "left")
-    upper = lambda x: F.when(F.col("b_n") >= LEAST_GROUP, F.col(f"b_{x}")).otherwise(F.lit(whole_fence[x] if whole_fence else None).cast("double"))
-    pick = lambda x: F.when(F.col("a_n") >= LEAST_GROUP, F.least(F.col(f"a_{x}"), upper(x))).otherwise(upper(x))
-    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *(pick(x).alias(x) for x in names))
-
-
-def judge(docs: DataFrame) -> DataFrame:
-    """Counts, base_failed, kept and the fences of each document (doc_id, lang, source, text).
-
-    The texts are read once: counts (a few dozen bytes a row) are written to the shared folder, sketched,
+    by_source = histograms(own, ("lang", "source")).toDF("o_lang", "o_source", "o_measure", "oh")
+    by_lang = histograms(merge(own, ("lang",)), ("lang",)).toDF("l_lang", "l_measure", "lh")
+    whole = histograms(merge(own, ()), ()).toDF("w_measure", "wh")
+    langs = measured.select("lang").distinct().withColumn("measure", F.explode(F.array(*map(F.lit, MEASURES))))
+    langs = langs.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure")), "left").join(whole, F.col("measure") == F.col("w_measure"), "left")
+    langs = langs.select(F.col("lang").alias("p_lang"), F.col("measure").alias("p_measure"), merged_with("lh", "wh").alias("ph")).withColumn("p_fence", fence("ph"))
+    groups = measured.select("lang", "source").distinct().withColumn("measure", F.explode(F.array(*map(F.lit, MEASURES))))
+    groups = groups.join(langs, F.col("lang").eqNullSafe(F.col("p_lang")) & (F.col("measure") == F.col("p_measure")))
+    same = F.col("lang").eqNullSafe(F.col("o_lang")) & F.col("source").eqNullSafe(F.col("o_source")) & (F.col("measure") == F.col("o_measure"))
+    found = groups.join(by_source, same, "left").withColumn("h", merged_with("oh", "ph")).withColumn("fence", F.least(fence("h"), "p_fence"))
+    return found.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*(F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"{m}_fence") for m in MEASURES))
+
+
+def judge(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "lang", "source"), text_col: str = "text") -> DataFrame:
+    """Counts, base_failed, kept and the fences of each row, with its keys (lang and source among them).
+
+    The texts are read once: keys and counts (a few dozen bytes a row) are written to the shared folder, sketched,
     and joined with the thresholds.  The threshold table has a row for each (lang, source).
     """
     ws = Workspace(docs.sparkSession, "quality")
-    measured = measures(ws.save(counts(docs), "counts"))
+    measured = measures(ws.save(counts(docs, keys, text_col), "counts"))
     limits = ws.save(thresholds(measured), "thresholds")
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     within = reduce(lambda x, y: x & y, ((F.col(m) <= F.col(f"{m}_fence")) | (F.col(c) <= once) for m, (c, once) in MEASURES.items()))
     return joined.withColumn("kept", ~F.col("base_failed") & within).drop("t_lang", "t_source")
 
 
+def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows that are kept, with all their columns.  Each row is judged by itself, also where it repeats a doc_id or has none."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "lang", "source")
+    return judge(whole, ("row", "lang", "source"), f"row.{text_col}").where("kept").select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return judged.select("doc_id", *COUNTS[:5], "base_failed", "kept", *(f"{m}_fence" for m in MEASURES))

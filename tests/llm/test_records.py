@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 from collections import Counter
@@ -56,9 +57,72 @@ def test_sketches_merge_and_bound_the_error(spark):
         assert found == pytest.approx(sorted(values)[int(p * len(values)) - 1], rel=2.1 * quality.ACCURACY)
 
 
+def brute_verdicts(rows):
+    """(kept, fences) of (lang, source, text) rows: histograms as counters, merged by weight."""
+    bucket = lambda v: -1 if v <= quality.LEAST else math.ceil(math.log(v / quality.LEAST) / math.log(quality.GAMMA))
+    value = lambda b: 0.0 if b < 0 else quality.LEAST * quality.GAMMA**b * 2 / (1 + quality.GAMMA)
+    end = lambda b: quality.LEAST if b < 0 else quality.LEAST * (1 + 1e-9) * quality.GAMMA**b
+    counted, own, by_lang, whole = [], {}, {}, {}
+    for lang, source, t in rows:
+        n_words, _, symbols, dup, repeat = brute_counts(t)
+        lines = sum(bool(re.search(r"[^ \t-\r]", x)) for x in (t or "").split("\n"))
+        upper, letters = len(re.findall("[A-Z]", t or "")), len(re.findall("[A-Za-z]", t or ""))
+        m = {"symbol_ratio": symbols / max(n_words, 1), "dup_line_ratio": dup / max(lines, 1), "repeat_ratio": repeat / max(n_words, 1), "upper_ratio": upper / max(letters, 1)}
+        failed = n_words < 50 or 100 * repeat > 50 * n_words
+        counted.append((m, {"n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "n_upper": upper}, failed))
+        for name, v in m.items() if not failed else ():
+            for table, key in ((own, (lang, source, name)), (by_lang, (lang, name)), (whole, name)):
+                table.setdefault(key, Counter())[bucket(v)] += 1
+
+    def merged(h, parent):
+        total = sum(parent.values())
+        return {b: h.get(b, 0) + parent.get(b, 0) * quality.PRIOR / total for b in {*h, *parent}}
+
+    def fence(h):
+        def q(p):
+            run, total = 0, sum(h.values())
+            for b in sorted(h):
+                run += h[b]
+                if run >= p * total * (1 - 1e-9):
+                    return b
+        return end(q(quality.TAIL)) + quality.SPREAD * (value(q(quality.TAIL)) - value(q(0.5)))
+
+    out = []
+    for (lang, source, _), (m, n, failed) in zip(rows, counted, strict=True):
+        kept = not failed
+        for name, (count, once) in quality.MEASURES.items() if not failed else ():
+            parent = merged(by_lang.get((lang, name), {}), whole[name])
+            limit = min(fence(merged(own.get((lang, source, name), {}), parent)), fence(parent))
+            kept = kept and (m[name] <= limit or n[count] <= once)
+        out.append(kept)
+    return out
+
+
+def test_verdicts_against_brute_force(spark):
+    """Groups from one document to many, null keys and repeated rows; a null doc_id has a verdict too."""
+    r = random.Random(4)
+    word = lambda: r.choice(("alpha", "Beta", "gamma|", "x#", "delta", "The")) if r.random() < 0.3 else f"w{r.randrange(10**5)}"
+    rows = []
+    for lang, source, n in (("en", "a", 300), ("en", "b", 40), ("en", None, 3), ("de", "a", 90), (None, "a", 1), (None, None, 20), ("xx", "y", 1)):
+        for _ in range(n):
+            lines = [" ".join(word() for _ in range(r.randint(1, 12))) for _ in range(r.randint(2, 30))]
+            lines += [r.choice(lines)] * r.choice((0, 0, 0, 1, 4))
+            rows.append((lang, source, "\n".join(lines)))
+    rows += [("xx", "short", "too short"), ("en", "a", None), rows[0], rows[0]]
+    df = spark.createDataFrame([(None if i % 50 == 7 else i // 2, t, la, so, 1, "clash") for i, (la, so, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_words long, kept string")
+    want = brute_verdicts(rows)
+    got = quality.judge(df).select("doc_id", "lang", "source", "n_words", "kept").collect()
+    key = lambda i, la, so, n, k: repr((i, la, so, n, k))
+    assert sorted(key(*x) for x in got) == sorted(key(None if i % 50 == 7 else i // 2, la, so, brute_counts(t)[0], k) for i, ((la, so, t), k) in enumerate(zip(rows, want, strict=True)))
+    assert 0.1 < sum(want) / len(want) < 0.98
+    kept = quality.kept_rows(df)
+    assert kept.columns == df.columns and sorted(r["text"] for r in kept.collect()) == sorted(t for (_, _, t), k in zip(rows, want, strict=True) if k)
+    assert quality.kept_rows(df.where("false")).count() == 0
+
+
 def test_thresholds_follow_their_group(spark, monkeypatch):
     """The same table is normal in a source of tables and an outlier elsewhere."""
-    monkeypatch.setattr(quality, "LEAST_GROUP", 20)
+    monkeypatch.setattr(quality, "PRIOR", 5)
     r = random.Random(1)
     text = lambda k: " ".join(f"w{r.randrange(10**6)}" + ("|" if j % 3 == 0 and k else "") for j in range(80))
     rows = [(i, text(1), "en", "tables", 0) for i in range(60)] + [(100 + i, text(i == 0), "en", "prose", 0) for i in range(60)]
@@ -68,7 +132,7 @@ def test_thresholds_follow_their_group(spark, monkeypatch):
 
 def test_sketches_decide_not_fixed_cutoffs(spark, monkeypatch):
     """A fence may be below any fixed cutoff, and a source that is mostly junk doesn't keep its junk."""
-    monkeypatch.setattr(quality, "LEAST_GROUP", 20)
+    monkeypatch.setattr(quality, "PRIOR", 20)
     r = random.Random(1)
     text = lambda k: " ".join(f"w{r.randrange(10**6)}" + ("|" if j < k else "") for j in range(100))
     rows = [(i, text(5 if i == 0 else 0), "en", "prose", 0) for i in range(400)] + [(1000 + i, text(90 if i % 3 else 0), "en", "junk", 0) for i in range(30)]
