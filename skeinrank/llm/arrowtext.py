@@ -7,6 +7,7 @@ Python object is made per word.  Memory is bounded by ``SLICE_BYTES`` (or one ro
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,6 +189,19 @@ def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
     return h.view(np.int32).astype(np.int64) % groups
 
 
+@functools.lru_cache(maxsize=4)
+def range_keys(ranges: int, negative: bool = False) -> np.ndarray:
+    """A key for each hash range (or group) such that Spark's hash deals each to a partition of its own; all of them below 0 if asked for."""
+    tried = np.arange(ranges * (8 + 2 * ranges.bit_length()), dtype=np.int64)
+    tried = -1 - tried if negative else tried
+    bucket, first = np.unique(group_of(tried, ranges), return_index=True)
+    out, found = np.zeros(ranges, np.int64), np.zeros(ranges, bool)
+    out[bucket], found[bucket] = tried[first], True
+    rest = np.flatnonzero(~found)  # partitions that no key was found for: another one gets two ranges
+    out[rest] = (-1 - len(tried) - rest) if negative else len(tried) + rest
+    return out
+
+
 def bounds(keys: np.ndarray) -> np.ndarray:
     """Where runs of equal neighbours start, and the length at the end."""
     if not len(keys):

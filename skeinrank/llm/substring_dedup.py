@@ -18,13 +18,13 @@ history and by itself: a later batch with smaller ids doesn't change what an ear
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ KEY_BITS, CHECK_BITS = 48, 24
 FLUSH = 1_500_000
 MARK_BITS = 24
 U = np.uint64
-KEYED = "key long, blob binary"
+KEYED = "key long, blob binary, late binary"
 #: A row for each hash range: the batch's own run, and for each group of documents what it must remove.
 RUN = "key long, run binary, answers array<struct<g: long, blob: binary>>"
 
@@ -66,35 +66,33 @@ def _read_run(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at.unpack_sorted(keys), at.unpack(checks), at.unpack_sorted(ids).view(np.int64)[at.unpack(local).astype(np.int64)]
 
 
-def _keyed(keys: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "blob"])
-
-
-@functools.lru_cache(maxsize=2)
-def range_keys(ranges: int) -> np.ndarray:
-    """A key for each hash range (or group) such that Spark's hash deals each to a bucket of its own."""
-    tried = np.arange(ranges * (8 + 2 * ranges.bit_length()), dtype=np.int64)
-    bucket, first = np.unique(at.group_of(tried, ranges), return_index=True)
-    out = np.full(ranges, -1, np.int64)
-    out[bucket] = tried[first]
-    out[out < 0] = len(tried) + np.flatnonzero(out < 0)  # a bucket that none was found for: some other one holds two ranges
-    return out
+def _keyed(keys: list[int], blobs: list, late: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary()), pa.array(late, pa.binary())], names=["key", "blob", "late"])
 
 
 def _runs(ranges: int, k: int):
-    """Documents to sorted runs of (key, check, doc), one row for each range and about FLUSH windows."""
+    """Documents to sorted runs of (key, check, doc), one row for each range and about FLUSH windows.
+
+    A fingerprint leaves with the least of its documents among those windows; the others repeat that one whatever else there is, and
+    go, known to be late, to whichever range comes next.  So a window of very many documents costs its range one entry for each
+    FLUSH windows.
+    """
 
-    def flush(parts: list) -> Iterator[pa.RecordBatch]:
-        keys, checks, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(keys)
-        keys, checks, docs = keys[order], checks[order], docs[order]
-        cuts, names = at.bounds(f := _ranged(keys, ranges)), range_keys(ranges)
+    def flush(parts: list, turn: int) -> Iterator[pa.RecordBatch]:
+        keys, checks, docs, new = _merge([tuple(np.concatenate(x) for x in zip(*parts, strict=True))])
+        names = at.range_keys(ranges)
+        if not new.all():
+            late = ~new
+            yield _keyed([int(names[turn % ranges])], [None], [_run_blob(keys[late], checks[late], docs[late])])
+            keys, checks, docs = keys[new], checks[new], docs[new]
+        cuts = at.bounds(f := _ranged(keys, ranges))
         for a in range(0, len(cuts) - 1, 128):
             some = list(zip(cuts[:-1], cuts[1:], strict=True))[a : a + 128]
-            yield _keyed([int(names[f[x]]) for x, _ in some], [_run_blob(keys[x:y], checks[x:y], docs[x:y]) for x, y in some])
+            yield _keyed([int(names[f[x]]) for x, _ in some], [_run_blob(keys[x:y], checks[x:y], docs[x:y]) for x, y in some], [None] * len(some))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second, parts, held = at.WordHash(11), at.WordHash(12), [], 0
+        turn = TaskContext.get().partitionId() if TaskContext.get() else 0
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -105,10 +103,10 @@ def _runs(ranges: int, k: int):
                     parts.append((keys, checks, ids[a:b][rows[own]]))
                     held += len(own)
                 if held >= FLUSH:
-                    yield from flush(parts)
-                    parts, held = [], 0
+                    yield from flush(parts, turn)
+                    parts, held, turn = [], 0, turn + 7919
         if held:
-            yield from flush(parts)
+            yield from flush(parts, turn)
 
     return run
 
@@ -145,7 +143,8 @@ def _ingest(groups: int):
     def run(key: tuple, batch: pa.Table, history: pa.Table) -> pa.Table:
         answers, mine = [], b""
         if batch.num_rows:
-            keys, checks, docs, new = _merge([_read_run(x.as_py()) for x in batch.column("blob")])
+            here = [_read_run(x.as_py()) for x in batch.column("blob") if x.is_valid]
+            keys, checks, docs, new = _merge(here) if here else (np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, bool))
             starts = np.flatnonzero(new)
             own, size = docs[starts], np.diff(np.concatenate((starts, [len(docs)])))
             least = own
@@ -154,11 +153,12 @@ def _ingest(groups: int):
             fresh = starts[own <= least]
             mine = _run_blob(keys[fresh], checks[fresh], docs[fresh])
             late = docs > np.repeat(least, size)
-            keys, checks, docs = keys[late], checks[late], docs[late]
-            order = np.argsort(g := at.group_of(docs, groups), kind="stable")
+            known = [(keys[late], checks[late], docs[late]), *(_read_run(x.as_py()) for x in batch.column("late") if x.is_valid)]
+            keys, checks, docs = (np.concatenate(x) for x in zip(*known, strict=True))
+            order = np.lexsort((keys, g := at.group_of(docs, groups)))
             g, keys, checks, docs = g[order], keys[order], checks[order], docs[order]
             cuts = at.bounds(g) if len(g) else [0]
-            names = range_keys(groups)
+            names = at.range_keys(groups)
             answers = [{"g": int(names[g[a]]), "blob": _run_blob(keys[a:b], checks[a:b], docs[a:b])} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         kind = pa.list_(pa.struct([("g", pa.int64()), ("blob", pa.binary())]))
         rows = [[key[0].as_py()], [mine], [answers]] if mine else [[], [], []]
@@ -261,7 +261,7 @@ def _dealt(groups: int):
         for batch in batches:
             packed = [x.as_py() for x in batch.column(1).cast(pa.large_binary())]
             packed = [None if x is None else squeeze(x) if x else b"" for x in packed]
-            g = range_keys(groups)[at.group_of(batch.column(0).to_numpy(zero_copy_only=False), groups)]
+            g = at.range_keys(groups)[at.group_of(batch.column(0).to_numpy(zero_copy_only=False), groups)]
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), batch.column(0), pa.array(packed, pa.binary())], names=["key", "doc_id", "packed"])
 
     return run

@@ -137,8 +137,10 @@ def test_incremental_index_equals_one_pass(spark, tmp_path):
 
 def test_range_keys_fill_their_buckets():
     for n in (1, 2, 7, 64, 1000):
-        keys = substring_dedup.range_keys(n)
-        assert len(set(keys.tolist())) == n and len(set(at.group_of(keys, n).tolist())) >= 0.99 * n
+        keys, below = at.range_keys(n), at.range_keys(n, True)
+        for k in (keys, below):
+            assert len(set(k.tolist())) == n and len(set(at.group_of(k, n).tolist())) >= 0.99 * n
+        assert keys.min() >= 0 > below.max()
 
 
 def bench_words(text):
