@@ -25,37 +25,59 @@ def shingles(text):
 
 
 def brute_components(rows):
-    sets = {i: shingles(t) for i, t in rows}
-    parent = {i: i for i in sets}
+    """(doc_id, size, component) of each row, sorted."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
             both = len(sets[a] & sets[b])
             if both and 100 * both >= 75 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
-    return {i: (len(sets[i]), find(i)) for i in ids}
+                parent[find(b)] = find(a)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        r = find(k)
+        least[r] = i if least.get(r) is None else least[r] if i is None else min(least[r], i)
+    return sorted(((i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(rows)), key=repr)
+
+
+def linked(df):
+    return sorted((tuple(r)[:3] for r in df.collect()), key=repr)
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_jaccard_components(spark, seed):
     rows = documents(seed)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()}
-    assert got == brute_components(rows)
+    assert linked(ngram_join.jaccard_components(frame(spark, rows))) == brute_components(rows)
+
+
+@pytest.mark.parametrize("most", [64, 2])
+def test_jaccard_of_rows_that_repeat_ids_or_have_none(spark, monkeypatch, most):
+    """Each row is a document; n-grams are heavy from two documents on or seldom; the pipeline keeps one row of each component."""
+    monkeypatch.setattr(ngram_join, "MOST_LIGHT", most)
+    rows = documents(5, 25)
+    rows += [(rows[0][0], rows[1][1]), (rows[0][0], rows[0][1]), (None, rows[1][1]), (None, None), (None, "only this one has these words"), (None, "only this one has these words"), (-5, rows[2][1])]
+    df = frame(spark, rows).withColumn("row", F.lit(1)).withColumn("key", F.lit("k"))
+    want = brute_components(rows)
+    assert linked(ngram_join.jaccard_components(df)) == want
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted((shingles(r["text"]) and str(sorted(shingles(r["text"]))), r["doc_id"]) for r in kept.collect() if shingles(r["text"]))
+    assert len(got) == len({x for x, _ in got}) and {i for _, i in got} >= {c for _, n, c in want if n and c is not None}
+    empty = [t for _, t in rows if not shingles(t)]
+    assert sum(not shingles(r["text"]) for r in kept.collect()) == len(empty)
 
 
 def test_jaccard_edge_cases(spark):
     twice = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (4, None)]
     docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in twice], "doc_id long, text string, n int, comp string, low int")
-    got = sorted(tuple(r)[:3] for r in ngram_join.jaccard_components(docs).collect())
-    assert got == [(1, 2, 1), (2, 2, 1), (4, 0, 4)]
-    assert ngram_join.jaccard_components(docs.where("false")).count() == 0
+    assert linked(ngram_join.jaccard_components(docs)) == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, 1), (4, 0, 4)], key=repr)
+    assert ngram_join.jaccard_components(docs.where("false")).count() == 0 == ngram_join.one_of_each(docs.where("false")).count()
 
 
 def test_hub_groups_of_near_copies(spark):
@@ -69,8 +91,7 @@ def test_hub_groups_of_near_copies(spark):
             w[(k + 30) % 60] = f"y{k}"
         rows.append((k, " ".join(w)))
     rows += [(100 + k, " ".join([*base[:40], *(f"o{k}_{j}" for j in range(14))])) for k in range(40)]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()}
-    assert got == brute_components(rows)
+    assert linked(ngram_join.jaccard_components(frame(spark, rows))) == brute_components(rows)
 
 
 def test_components_of_paths_and_cycles(spark):
