@@ -7,7 +7,10 @@ structure can confirm: long base64, base64url or hex candidates are decoded, and
 * ``der``: bytes that parse as a DER key (nested lengths must end exactly at their parents' ends, and the
   members must be those of a PKCS#1, PKCS#8, SEC 1 or SubjectPublicKeyInfo key),
 * ``ssh``: an OpenSSH private-key container or a length-prefixed SSH key blob,
-* ``pem``: a PEM block with a key label whose body passes one of the above.
+* ``pem``: a PEM block with a key label whose body passes one of the above, or is whole cipher blocks under
+  encryption headers.
+
+Base64 may be wrapped: lines of one length and a last one that isn't longer are tried together; hex may mix its cases.
 
 Only texts with a candidate run are looked at in Python; runs are found over the raw bytes of a batch.
 Edge cases: null or empty texts have no spans; spans are code points, end exclusive; equal texts give equal
@@ -38,13 +41,16 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 #: The words that the assign pattern starts with, and the labels of PEM keys.
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-PEM = re.compile(r"-----BEGIN ((?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
+PEM_BEGIN = re.compile(r"-----BEGIN ((?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY)-----")
+_PEM_HEADER = re.compile(r"[A-Za-z0-9-]+:[^\n]*(?:\n[ \t][^\n]*)*\n")
+_CIPHER = re.compile(r"DEK-Info:\s*([A-Z0-9-]+)\s*,\s*([0-9A-Fa-f]+)")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}+(?:\r?\n[A-Za-z0-9+/]++)++={0,2}+")
 #: A text with a run of so many characters that keys are written in is looked at; the shortest that counts has 32.
 SUSPECT_RUN = 16
 _RUN = at.byte_class([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2F, 0x2F), (0x5F, 0x5F), (0x3D, 0x3D), (0x2D, 0x2E)])
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{32,}")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-_HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
+_HEX_ANY = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{64,}(?![0-9A-Za-z])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 
 
@@ -132,14 +138,52 @@ def is_token_header(part: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
+def pem_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Blocks with a key label whose body is a key, or whole cipher blocks under encryption headers."""
+    for m in PEM_BEGIN.finditer(text):
+        end = text.find("-----", m.end())
+        foot = f"-----END {m[1]}-----"
+        if end < 0 or not text.startswith(foot, end):
+            continue
+        body, cipher, at_ = text[m.end() : end].replace("\r\n", "\n").lstrip("\n"), None, 0
+        while h := _PEM_HEADER.match(body, at_):
+            cipher, at_ = _CIPHER.match(h[0]) or cipher, h.end()
+        data = b64(re.sub(r"\s+", "", body[at_:]))
+        if not data:
+            continue
+        if cipher:
+            block = 8 if "DES" in cipher[1] or "RC2" in cipher[1] or "BF" in cipher[1] else 16
+            sound = len(data) % block == 0 and len(cipher[2]) == 2 * block
+        else:
+            sound = is_der_key(data) or is_ssh_key(data)
+        if sound:
+            yield m.start(), end + len(foot)
+
+
+def _key_kind(data: bytes | None) -> str | None:
+    return None if not data else "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
+
+
+def _wrapped(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys in base64 over several lines: lines of the first one's length, and a last one that isn't longer."""
+    for m in _WRAPPED.finditer(text):
+        lines = [(x.start() + m.start(), x.end() + m.start(), x[0]) for x in re.finditer(r"[A-Za-z0-9+/=]+", m[0])]
+        i = 0
+        while i < len(lines):
+            size, j = len(lines[i][2]), i + 1
+            while j < len(lines) and len(lines[j][2]) == size:
+                j += 1
+            last = j + 1 if j < len(lines) and len(lines[j][2]) < size else j
+            if last - i > 1 and (kind := _key_kind(b64("".join(x for _, _, x in lines[i:last])))):
+                yield kind, lines[i][0], lines[last - 1][1]
+            i = last if last > i + 1 else i + 1
+
+
 def confirmed(text: str) -> list[tuple[str, int, int]]:
     """The spans that decoding and parsing confirm."""
-    out: list[tuple[str, int, int]] = []
-    for m in PEM.finditer(text) if "-----BEGIN " in text else ():
-        data = b64(re.sub(r"\s+", "", m[2]))
-        if data and (is_der_key(data) or is_ssh_key(data)):
-            out.append(("pem", *m.span()))
+    out = [("pem", a, b) for a, b in pem_blocks(text)] if "-----BEGIN " in text else []
     inside = lambda a, b: any(s <= a and b <= e for _, s, e in out)
+    out += [x for x in _wrapped(text) if not inside(x[1], x[2])]
     for run in CANDIDATE.finditer(text):
         if inside(*run.span()):
             continue
@@ -149,19 +193,12 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
                 out.append(("jwt", base + m.start(), base + m.end()))
         for m in _B64.finditer(s):
             a, b = base + m.start(), base + m.end()
-            if not inside(a, b) and (data := b64(m[0])):
-                if is_der_key(data):
-                    out.append(("der", a, b))
-                elif is_ssh_key(data):
-                    out.append(("ssh", a, b))
+            if not inside(a, b) and (kind := _key_kind(b64(m[0]))):
+                out.append((kind, a, b))
         for m in _HEX_ANY.finditer(s):
             a, b = base + m.start(), base + m.end()
-            if not inside(a, b) and len(m[0]) % 2 == 0:
-                data = bytes.fromhex(m[0])
-                if is_der_key(data):
-                    out.append(("der", a, b))
-                elif is_ssh_key(data):
-                    out.append(("ssh", a, b))
+            if not inside(a, b) and len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
+                out.append((kind, a, b))
     return out
 
 

@@ -248,6 +248,86 @@ def test_confirmed_structures():
     assert not secrets.confirmed(b64(rsa[:-1]) + " " + b64(r.randbytes(120)) + " " + r.randbytes(40).hex())
 
 
+def test_wrapped_and_encrypted_keys():
+    r = random.Random(6)
+    rsa = der(0x30, der(2, b"\0"), *integers(r, (128, 3, 128, 64, 64, 64, 64, 64)))
+    code = base64.b64encode(rsa).decode()
+    for width, end in ((64, "\n"), (76, "\r\n"), (50, "\n")):
+        wrapped = end.join(re.findall(f".{{1,{width}}}", code))
+        text = f"key:\n{wrapped}\n\nnext é line"
+        assert [(k, text[a:b]) for k, a, b in secrets.confirmed(text)] == [("der", wrapped)]
+        assert not secrets.confirmed(text.replace(wrapped, wrapped[:-8] + "\n" + wrapped[-8:] + "AAAA"))
+    body = base64.b64encode(r.randbytes(320)).decode()
+    pem = lambda headers, b, label="RSA PRIVATE KEY": f"-----BEGIN {label}-----\n{headers}" + "\n".join(re.findall(".{1,64}", b)) + f"\n-----END {label}-----"
+    sealed = pem("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n", body)
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(rsa.hex()))
+    text = f"a {sealed} b {mixed} c"
+    assert [(k, text[a:b]) for k, a, b in secrets.confirmed(text)] == [("pem", sealed), ("der", mixed)]
+    assert not secrets.confirmed(pem("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n", body)) and not secrets.confirmed(pem("", body))
+    assert not secrets.confirmed(pem("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n", base64.b64encode(r.randbytes(321)).decode()))
+    assert not secrets.confirmed("-----BEGIN PRIVATE KEY-----" * 2000)
+
+
+def naive_key(data):
+    """Another reading of the same encodings: items from the end of the nesting, without positions."""
+    def items(x):
+        out = []
+        while x:
+            if len(x) < 2:
+                return None
+            n, head = x[1], 2
+            if n > 127:
+                k = n - 128
+                if not 1 <= k <= 4 or len(x) < 2 + k:
+                    return None
+                n, head = int.from_bytes(x[2 : 2 + k], "big"), 2 + k
+                if n < 128 or x[2] == 0:
+                    return None
+            if len(x) < head + n:
+                return None
+            out.append((x[0], x[head : head + n]))
+            x = x[head + n :]
+        return out
+    top = items(data)
+    if top and len(top) == 1 and top[0][0] == 0x30 and (kids := items(top[0][1])) and len(kids) >= 2:
+        tags, algorithm = [t for t, _ in kids], lambda v: bool(items(v)) and items(v)[0][0] == 6
+        small = tags[0] == 2 and len(kids[0][1]) == 1 and kids[0][1][0] <= 1
+        if small and len(tags) >= 9 and set(tags[:9]) == {2} or small and tags[1:3] == [0x30, 4] and algorithm(kids[1][1]) or small and tags[1] == 4 and not tags[1:3] == [0x30, 4] and len(kids[1][1]) in (16, 24, 28, 32, 48, 66):
+            return "der"
+        if not small and (tags == [0x30, 3] and algorithm(kids[0][1]) and len(kids[1][1]) > 1 and kids[1][1][0] == 0 or tags == [0x30, 4] and algorithm(kids[0][1]) or tags == [2, 2] and len(kids[0][1]) >= 64):
+            return "der"
+    if data.startswith(b"openssh-key-v1\0"):
+        return "ssh"
+    fields, x = [], data
+    while len(x) >= 4 and len(x) >= 4 + int.from_bytes(x[:4], "big"):
+        n = int.from_bytes(x[:4], "big")
+        fields.append(x[4 : 4 + n])
+        x = x[4 + n :]
+    return "ssh" if not x and len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa)-[a-z0-9@.-]+", fields[0]) else None
+
+
+def test_confirmed_spans_against_brute_force():
+    """Keys whole, cut, changed and with more behind them, in base64 or hex between other runs."""
+    r = random.Random(8)
+    rsa = der(0x30, der(2, b"\0"), *integers(r, (64, 3, 64, 32, 32, 32, 32, 32)))
+    oid = der(0x30, der(6, b"\x2a\x86\x48"), der(5))
+    keys = [rsa, der(0x30, der(2, b"\0"), oid, der(4, rsa)), der(0x30, oid, der(3, b"\0" + rsa)), der(0x30, der(2, b"\1"), der(4, r.randbytes(32))), der(0x30, oid, der(4, r.randbytes(64))),
+            b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-rsa", r.randbytes(3), r.randbytes(64))), b"openssh-key-v1\0" + r.randbytes(40), r.randbytes(60)]
+    found = 0
+    for _ in range(1500):
+        data = bytearray(r.choice(keys))
+        for _ in range(r.choice((0, 0, 1, 2))):
+            data[r.randrange(min(len(data), 12))] = r.randrange(256)
+        data = bytes(data)[: r.choice((len(data), len(data), len(data) - 1))] + r.choice((b"", b"", b"x"))
+        value = r.choice((base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode().rstrip("="), data.hex()))
+        text = f"{r.choice(('', 'é ', 'key: '))}{value}{r.choice(('', ' end', chr(10)))}"
+        kind = naive_key(data)
+        want = [(kind, text.index(value), text.index(value) + len(value))] if kind and (len(value) >= 64 or not re.fullmatch("[0-9a-f]+", value)) else []
+        assert secrets.confirmed(text) == want, (data, text)
+        found += bool(want)
+    assert found > 300
+
+
 def brute_secrets(text):
     out = [("assign", *m.span()) for m in re.finditer(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 8]
     out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
