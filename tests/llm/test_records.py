@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from skeinrank.llm import html_text, licenses, pii, quality, secrets, warc
 
@@ -388,6 +389,87 @@ def test_known_sentences_in_their_official_wording(spark):
     assert got == {1: "GPL-3.0-or-later", 2: "GPL-3.0-or-later", 3: "MPL-2.0", 4: "MIT", 5: "Proprietary", 6: "unknown-notice"}
 
 
+def brute_licenses(text):
+    """Every part of a text against every known sentence, and every rule from every place."""
+    parts, at_ = [], 0
+    for m in re.finditer(r"[!?;\n]|[.](?![0-9A-Za-z])|:(?!//)", text):
+        parts.append((at_, m.start()))
+        at_ = m.end()
+    parts = [p for p in [*parts, (at_, len(text))] if p[0] < p[1]]
+    tokens = [(m[0].lower().replace("licence", "license"), m[1], *m.span()) for m in licenses._WORD.finditer(text) if m[0].lower() != "v"]
+    tags = [(licenses.TAGGED, re.sub(r"\s+", " ", m[1]), *m.span()) for m in licenses._TAG.finditer(text)]
+    found, i = [], 0
+    while i < len(parts):
+        start, end = parts[i]
+        best = None
+        here = [k for k, t in enumerate(tokens) if t[2] >= start]
+        if here and tokens[here[0]][2] < end:
+            for sentence, identifier in licenses.SENTENCES.items():
+                want = sentence.split()
+                got = tokens[here[0] : here[0] + len(want)]
+                if len(got) == len(want) and all(w == "{v}" or w == re.sub(r"\.0\b", "", v) if v else w == x for w, (x, v, _, _) in zip(want, got, strict=True)):
+                    j = next(k for k in range(i, len(parts)) if got[-1][3] <= parts[k][1])
+                    behind = [t for t in tokens if t[2] >= got[-1][3] and t[2] < parts[j][1]]
+                    if (not behind or re.match(r"[\"')]*\s*[,(\u2013\u2014]|\s+-", text[got[-1][3] :])) and (best is None or len(want) > best[0]):
+                        best = (len(want), identifier, next((v for _, v, _, _ in got if v), None), j)
+        piece = text[start:end]
+        speaks = re.search(r"(?i)\b(un)?licen[sc]ed? (under|by)\b", piece) or re.search(r"(?i)\bunder the\b.*\blicen[sc]e\b", piece)
+        if best:
+            i = best[3]
+            found.append((best[1], best[2], start, parts[i][1]))
+        elif speaks and not any(a < end and start < b for _, _, a, b in tags):
+            found.append((licenses.UNKNOWN, None, start, end))
+        i += 1
+    found = sorted([(k, v, a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())) if k != licenses.TAGGED else (k, v, a, b) for k, v, a, b in found + tags], key=lambda x: x[2:])
+    names, used = [], set()
+    starters = {r[0] for _, r in licenses.RULES}
+    for i, (k, v, _, _) in enumerate(found):
+        if i in used:
+            continue
+        if k in (licenses.UNKNOWN, licenses.TAGGED):
+            names.append(v if k == licenses.TAGGED else k)
+        for name, rule in sorted((r for r in licenses.RULES if r[1][0] == k), key=lambda r: -len(r[1])):
+            taken, rest = [i], list(rule[1:])
+            for j in range(i + 1, len(found)):
+                if rest and found[j][0] == rest[0]:
+                    taken.append(j)
+                    rest.pop(0)
+                elif rest and (found[j][0] in (licenses.UNKNOWN, licenses.TAGGED) or found[j][0] in starters and found[j][0] not in rest):
+                    break
+            if not rest:
+                used.update(taken)
+                version = next((found[j][1] for j in taken if found[j][1]), None)
+                names.append(name.replace("{v}", (version if "." in version else version + ".0") if version else "any"))
+                break
+    return names
+
+
+def test_licenses_against_brute_force(spark):
+    """Known sentences whole, wrapped, cut and mixed with others; nulls, empty and long texts, repeated rows and clashing columns."""
+    r = random.Random(9)
+    known = [s.replace("{v}", "3.0") for s in licenses.SENTENCES]
+    extra = ["Licensed under the Foo License", "under the terms of the very own licence", "SPDX-License-Identifier: MIT OR Apache-2.0", "a license plate", "nothing", "(c) X", "version 2.0", "hosted under the bridge"]
+    rows = []
+    for i in range(150):
+        text = ""
+        for _ in range(r.randint(1, 5)):
+            rule = [next(s for s, k in licenses.SENTENCES.items() if k == part).replace("{v}", "2") for part in r.choice(licenses.RULES)[1]]
+            for s in r.choice((rule, [r.choice(known)], [r.choice(extra)])):
+                w = s.split(" ")
+                if r.random() < 0.15:
+                    w.pop(r.randrange(len(w)))
+                gap = r.choice((" ", " ", "\n", ", ", "\n// "))
+                text += (r.choice((str.title, str.upper, str))(gap.join(w)) if s in known else s) + r.choice((". ", "\n", "; ", ", ", " - x "))
+        rows.append((i, text))
+    rows += [(200, None), (201, ""), (202, "x " * 200_000 + "\nMIT License\n" + "under the " * 20_000 + "license"), (None, "MIT License"), (200, "MIT License")]
+    df = frame(spark, rows).withColumn("licenses", F.lit("clash")).withColumn("spans", F.lit(1))
+    got = sorted((tuple(x)[:3] for x in licenses.scan(df).collect()), key=repr)
+    brute = {t: brute_licenses(t or "") for _, t in rows}
+    assert got == sorted(((i, len(brute[t]), ",".join(sorted(set(brute[t])))) for i, t in rows), key=repr)
+    assert len({n for names in brute.values() for n in names}) > 25
+    assert licenses.scan(df.where("false")).count() == 0
+
+
 # ---- pages
 
 PAGE = "<html><head><title>t</title><style>p{{}}</style></head><body><div>Site name</div><div>{a}</div><p>{b}</p><div>Legal text of the site</div></body></html>"
