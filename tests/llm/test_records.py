@@ -609,6 +609,28 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.assemble(parts).where("metadata is null and request is not null").count() == len(rows)
 
 
+def test_captures_of_repeated_and_missing_ids(spark, tmp_path):
+    """A row for each page row; captures of any size between two bounds share files by their size."""
+    big, same = "y" * 3_000, "z" * 150
+    rows = [(1, "u", same), (1, "u", same), (1, "v", same), (1, "u", "other"), (None, "u", same), (None, None, None), (None, None, None), (2, "u", same), (2, "u", same), (3, "u", ""), (-4, "u", big), (5, "u", big)]
+    rows += [(100 + k, "u", "b" * (2_000 << (k % 4)) + str(k)) for k in range(12)]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, capture_id string")
+    want = []
+    for i, _, h in rows:
+        p = (h or "").encode()
+        first = min((k for k, _, x in rows if k is not None and (x or "").encode() == p), default=None)
+        again = len(p) >= 100 and i is not None and first != i
+        want.append((i, len(p), hashlib.sha256(p).hexdigest(), "revisit" if again else "response", first if again else None))
+    for n, limits in enumerate(((1000, None), (16, 2_000), (1, 500), warc.file_limits(df))):
+        path = str(tmp_path / str(n))
+        warc.write(warc.plan_revisits(df), path, *limits)
+        got = [tuple(r) for r in warc.captures(warc.assemble(warc.read(spark, path))).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert warc.file_limits(df.where("false")) == (1000, None) and warc.file_limits(df)[1] is None
+    warc.write(warc.plan_revisits(df.where("false")), str(tmp_path / "none"))
+    assert warc.captures(warc.assemble(warc.read(spark, str(tmp_path / "none")))).count() == 0
+
+
 def test_cut_off_archives_are_errors():
     good = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [bytes(b) for _, b in warc.parse(good + good)] == [b"abc", b"abc"]
