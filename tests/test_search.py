@@ -161,7 +161,8 @@ def test_saved_index_and_segments_score_alike(spark, tmp_path):
     store = SegmentStore(spark, str(tmp_path / "s"), IndexSpec("i", "content", "simple"), per_level=3)
     for k in range(5):
         assert store.append(docs.where(F.col("doc_id") % 5 == k), k)
-    assert store.append(docs.where(F.col("doc_id") % 5 == 0), 0) is None or len(store.segments) == 3  # a repeated batch adds nothing
+    with pytest.warns(UserWarning, match="in the store already"):
+        assert store.append(docs.where(F.col("doc_id") % 5 == 0), 0) is None and len(store.segments) == 3
     assert store.append(spark.createDataFrame([(999, "")], "doc_id long, content string"), 9) is None
     assert {s["level"] for s in store.segments} == {0, 1}
     assert search(store.index(), "a b c").collect() == want
@@ -180,6 +181,59 @@ def test_stream_of_files(spark, tmp_path):
     assert search(store.index(), "a b").collect() == search(indexed(spark, texts), "a b").collect()
 
 
+def test_streams_with_checkpoints_of_their_own(spark, tmp_path):
+    """Both start at batch 0; neither loses a document."""
+    store = SegmentStore(spark, str(tmp_path / "s"), IndexSpec("i", "content", "simple"))
+    for name, doc in (("a", 1), ("b", 2)):
+        spark.createDataFrame([(doc, "fox")], "doc_id long, content string").write.parquet(str(tmp_path / name))
+        source = spark.readStream.schema("doc_id long, content string").parquet(str(tmp_path / name))
+        store.stream(source, str(tmp_path / f"c-{name}")).awaitTermination(120)
+    assert sorted(r["doc_id"] for r in search(store.index(), "fox").collect()) == [1, 2]
+
+
+def test_store_changes_are_whole(spark, tmp_path, monkeypatch):
+    row = lambda *r: spark.createDataFrame(list(r), "doc_id long, content string")
+    ids = lambda *r: spark.createDataFrame([(x,) for x in r], "doc_id long")
+    path = str(tmp_path / "s")
+    found = lambda word: sorted(r["doc_id"] for r in search(SegmentStore(spark, path).index(), word).collect())
+    store = SegmentStore(spark, path, IndexSpec("i", "content", "simple"), per_level=4)
+    store.append(row((1, "red fox"), (2, "red dog"), (None, "red cat")), 0)
+    held = store.index()
+    with pytest.warns(UserWarning, match="in the store already"):
+        assert store.upsert(row((1, "blue")), 0) is None
+    assert found("fox") == [1]  # a repeated batch doesn't delete either
+    store.upsert(row((1, "blue fox"), (3, None)), 1)
+    assert found("blue") == [1] and SegmentStore(spark, path).index().corpus_stats.first()["n"] == 3
+    monkeypatch.setattr(store, "_save", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        store.upsert(row((2, "green")), 2)
+    monkeypatch.undo()
+    assert found("dog") == [2] and found("green") == []  # nothing of an upsert that failed is seen
+    store.delete(ids(2, 99))
+    store.delete(ids())
+    assert [r["doc_id"] for r in search(store.index(), "red").collect()] == [None]
+    store.compact(everything=True)
+    assert len(store.segments) == 1 and store.segments[0]["deletes"] == [] and store.segments[0]["docs"] == 2
+    assert len(search(held, "red").collect()) == 3  # a reader of the old set still has its files
+    store.grace = 0.0
+    assert len(store.vacuum()) >= 3 and found("blue") == [1]
+
+
+def test_two_writers_keep_both_changes(spark, tmp_path):
+    one = SegmentStore(spark, str(tmp_path / "s"), IndexSpec("i", "content", "simple"))
+    two, save = SegmentStore(spark, str(tmp_path / "s")), one._manifest.commit
+    row = lambda k: spark.createDataFrame([(k, "fox")], "doc_id long, content string")
+
+    def late(content):
+        one._manifest.commit = save
+        two.append(row(2), 2)
+        return save(content)
+
+    one._manifest.commit = late
+    assert one.append(row(1), 1)
+    assert sorted(r["doc_id"] for r in search(one.index(), "fox").collect()) == [1, 2]
+
+
 def test_deletes_frozen_and_live(spark):
     docs = frame(spark, ["hello one", "hello two", "other", "other", "other"])
     i = build(docs, IndexSpec("i", "content", "simple"))
