@@ -104,6 +104,7 @@ def _measure_batches(keep: int, where: tuple[int, str | None]):
             out = [at_ for at_ in zip(*(measure(raw[off[a] : off[b]], off[a : b + 1] - off[a], hasher) for a, b in at.slices(off)), strict=True)]
             cols = [np.concatenate(x).astype(np.int64) for x in out] or [np.zeros(0, np.int64)] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *map(pa.array, cols)], names=[*batch.schema.names[:keep], *COUNTS])
+        at.release()
 
     return run
 
@@ -191,13 +192,13 @@ def thresholds(measured: DataFrame) -> DataFrame:
     return found.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*(F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"{m}_fence") for m in MEASURES))
 
 
-def judge(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "lang", "source"), text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "lang", "source"), text_col: str = "text", bounded: bool = False) -> DataFrame:
     """Counts, base_failed, kept and the fences of each row, with its keys (lang and source among them).
 
     The texts are read once: keys and counts (a few dozen bytes a row) are written to the shared folder, sketched,
-    and joined with the thresholds.  The threshold table has a row for each (lang, source).
+    and joined with the thresholds.  The threshold table has a row for each (lang, source).  ``bounded``: as Workspace's, for keys that are whole rows.
     """
-    ws = Workspace(docs.sparkSession, "quality")
+    ws = Workspace(docs.sparkSession, "quality", bounded)
     measured = measures(ws.save(counts(docs, keys, text_col), "counts"))
     limits = ws.save(thresholds(measured), "thresholds")
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
@@ -208,7 +209,7 @@ def judge(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "lang", "source"),
 def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows that are kept, with all their columns.  Each row is judged by itself, also where it repeats a doc_id or has none."""
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "lang", "source")
-    return judge(whole, ("row", "lang", "source"), f"row.{text_col}").where("kept").select("row.*")
+    return judge(whole, ("row", "lang", "source"), f"row.{text_col}", bounded=True).where("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

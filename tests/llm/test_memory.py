@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from skeinrank.llm import arrowtext as at
-from skeinrank.llm import ngram_join
+from skeinrank.llm import ngram_join, quality
 from skeinrank.llm.workspace import BATCH_BYTES
 
 
@@ -37,6 +38,16 @@ def test_batches_of_the_join_are_bounded_by_bytes(spark, monkeypatch):
     assert {tuple(r)[2] for r in ngram_join.jaccard_components(long_rows(spark)).collect()} == {0}
 
 
+def test_batches_of_the_pipelines_first_stages_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_fragment", bounded(ngram_join._fragment))
+    monkeypatch.setattr(quality, "_measure_batches", bounded(quality._measure_batches))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = long_rows(spark)
+    corpus_pipeline.quality_rules(spark, docs, "").count()
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_fragments_of_many_groups_hold_little():
     """One flush of n-grams, dealt to as many groups as 6 GB have."""
     r = np.random.default_rng(1)
