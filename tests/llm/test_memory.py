@@ -73,3 +73,25 @@ def test_pairs_of_a_long_list_are_summed_on_the_way(monkeypatch):
     monkeypatch.setattr(ngram_join, "HELD_PAIRS", 50)
     assert ngram_join._all_pairs()((0,), table).equals(want)
     assert min(calls) < 100 < 3 * 780 < sum(calls)
+
+
+def peak_of(run):
+    tracemalloc.start()
+    out = run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_prefixes_and_frequencies_of_a_full_task_hold_little():
+    """An executor has little beside its JVM: a worker's arrays stay under 80 MB in each step."""
+    r = np.random.default_rng(2)
+    many, n = 20_000, 100
+    grams, places = at.pack(np.sort(r.integers(0, 1 << 48, n).astype(np.uint64))), at.pack_sorted(np.arange(n, dtype=np.uint64))
+    names = ["doc_id", "n", "prefix", "comp", "grams", "place"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 1000)), pa.array([n] * 1000), pa.array([n] * 1000), pa.array(range(k, k + 1000)), pa.array([grams] * 1000, pa.binary()), pa.array([places] * 1000, pa.binary())], names=names) for k in range(0, many, 1000)]
+    held, peak = peak_of(lambda: sum(len(at.unpack(at.split_blobs(x)[2])) for batch in ngram_join._prefix(1200)(iter(batches)) for x in batch.column(1).to_pylist()))
+    assert held == many * n and peak < 80e6, peak
+    rows = [" ".join(map(str, r.integers(0, 10**6, 1000))) for _ in range(2200)]
+    texts = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 100)), pa.array(rows[k : k + 100])], names=["id", "text"]) for k in range(0, len(rows), 100)]
+    assert peak_of(lambda: sum(batch.num_rows for batch in ngram_join._fragment(1200, 64, 5)(iter(texts))))[1] < 80e6
