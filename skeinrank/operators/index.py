@@ -4,13 +4,14 @@ postings(doc_id, [scopes], term, tf, dl_q)    one row for each document and term
 doc_stats(doc_id, [scopes], dl, dl_q)         documents with one term at least
 Term and corpus statistics are aggregates of these, over everything or within a scope (tenant, partition).
 
-A document's length is found inside its row.  Texts are dealt by doc_id once; a document's terms are then counted where its
-text is, without a shuffle of (document, term) pairs.
+A document's terms and its length are counted inside its row, from its sorted tokens: neither texts nor (document, term)
+pairs are shuffled or held in a hash table, so a task holds one document at a time, however large the table.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 from functools import cached_property
 
@@ -42,23 +43,42 @@ def tokens_of(df: DataFrame, column: str, config: str | None) -> Column:
     raise ValueError(f'column "{column}" has type {kind.simpleString()}: only text, array<string> and map<string,int> can be indexed')
 
 
-_CAPPED = f"""aggregate(array_sort(tokens), named_struct('p', cast(null as string), 'r', 0, 's', 0),
-  (a, x) -> named_struct('p', x, 'r', if(x <=> a.p, a.r + 1, 1), 's', a.s + if(if(x <=> a.p, a.r + 1, 1) <= {TF_CAP}, 1, 0)), a -> a.s)"""
+#: Smaller tables (bytes, as stored) may be one row group, which only one task reads: their texts are dealt out first.
+SPREAD_BYTES = 64_000_000
+
+
+def _once(rows: DataFrame, column: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is computed once: filters and further uses of a generated column don't repeat its expression."""
+    return rows.select(*(c for c in rows.columns if c != column), F.explode_outer(F.array(value)).alias(column))
 
 
 def doc_length() -> Column:
-    """Tokens of ``tokens``, each term counted TF_CAP times at most; only longer texts need the sorted count."""
-    return F.expr(f"case when size(tokens) <= {TF_CAP} then size(tokens) else {_CAPPED} end")
+    """Tokens of sorted ``tokens``, each term counted TF_CAP times at most: a token is beyond the cap if it equals the one TF_CAP places before."""
+    over = F.size(F.filter(F.sequence(F.lit(TF_CAP), F.size("tokens") - 1), lambda i: F.get("tokens", i) == F.get("tokens", i - TF_CAP)))
+    return F.when(F.size("tokens") <= TF_CAP, F.size("tokens")).otherwise(F.size("tokens") - over)
+
+
+def _postings(rows: DataFrame, scopes: list[str]) -> DataFrame:
+    """A row for each term of documents with sorted ``tokens``: runs of equal tokens."""
+    first = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
+    runs = _once(rows.where("size(tokens) > 0").select("doc_id", *scopes, "tokens", "dl_q"), "starts", first)
+    tf = lambda s, j: F.least(F.coalesce(F.get("starts", j + 1), F.size("tokens")) - s, F.lit(TF_CAP))
+    counted = F.transform("starts", lambda s, j: F.struct(F.get("tokens", s).alias("term"), tf(s, j).cast("int").alias("tf")))
+    return runs.select("doc_id", *scopes, "dl_q", F.explode_outer(counted).alias("p")).select("doc_id", *scopes, "p.term", "p.tf", "dl_q")
 
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of an index; ``spec`` says how they were made, ``totals`` are (documents, tokens) where they are known."""
+    """Tables of an index; ``spec`` says how they were made, ``totals`` are (documents, tokens) where they are known.
+
+    ``documents`` are doc_id, scopes, sorted tokens, dl and dl_q where texts are at hand; a stored index has none.
+    """
 
     spec: IndexSpec
     postings: DataFrame
     doc_stats: DataFrame
     totals: tuple[int, int] | None = None
+    documents: DataFrame | None = None
 
     @property
     def scopes(self) -> list[str]:
@@ -79,6 +99,16 @@ class Index:
         rows = self.postings if terms is None else self.postings.join(terms.select("term").distinct(), "term", "left_semi")
         return rows.groupBy(*(keys or []), "term").agg(F.count("*").alias("df"))
 
+    def matching(self, names: list[str]) -> DataFrame:
+        """Postings of the given terms; of texts at hand only these terms are counted."""
+        if self.documents is None:
+            return self.postings.where(F.col("term").isin(names))
+        return _postings(_once(self.documents.drop("dl"), "tokens", F.filter("tokens", lambda t: t.isin(names))), self.scopes)
+
+    def only(self, keep: Callable[[DataFrame], DataFrame]) -> Index:
+        """The index over those documents whose rows of its tables ``keep`` returns."""
+        return replace(self, postings=keep(self.postings), doc_stats=keep(self.doc_stats), totals=None, documents=None if self.documents is None else keep(self.documents))
+
     def save(self, path: str) -> Index:
         """Postings sorted by term, so that a query's terms prune row groups (ranges may split a frequent term); returns the index as read back."""
         spark = self.postings.sparkSession
@@ -92,7 +122,7 @@ class Index:
     def restricted(self, live: DataFrame) -> Index:
         """The index over live documents only (statistics follow)."""
         ids = live.select(F.col(self.spec.id_column).alias("doc_id")).distinct()
-        return replace(self, postings=self.postings.join(ids, "doc_id", "left_semi"), doc_stats=self.doc_stats.join(ids, "doc_id", "left_semi"), totals=None)
+        return self.only(lambda rows: rows.join(ids, "doc_id", "left_semi"))
 
 
 def load(spark: SparkSession, path: str) -> Index:
@@ -100,11 +130,8 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(IndexSpec(**json.loads(meta["spec"])), spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"), (meta["n"], meta["total_len"]))
 
 
-def analyzed(df: DataFrame, spec: IndexSpec, spread: bool = False) -> DataFrame:
-    """doc_id, scopes, tokens and dl of each document with one term at least (nulls, empty and stop-word-only texts have none).
-
-    ``spread`` deals the texts by doc_id first: counting a document's terms then needs no shuffle of its (longer) terms.
-    """
+def analyzed(df: DataFrame, spec: IndexSpec) -> DataFrame:
+    """doc_id, scopes and tokens of each document with one term at least (nulls, empty and stop-word-only texts have none)."""
     if spec.id_column not in df.columns:
         raise ValueError(f'column "{spec.id_column}" does not exist')
     scopes = []
@@ -116,15 +143,13 @@ def analyzed(df: DataFrame, spec: IndexSpec, spread: bool = False) -> DataFrame:
         scopes.append(F.col(spec.partition_column).alias(PARTITION))
     tokens = tokens_of(df, spec.column, spec.text_config)
     rows = df.select(F.col(spec.id_column).alias("doc_id"), *scopes, F.col(spec.column))
-    if spread:
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES:
         rows = rows.repartition("doc_id")
-    return rows.select("doc_id", *(c for c in (TENANT, PARTITION) if c in rows.columns), tokens.alias("tokens")).where("size(tokens) > 0").withColumn("dl", doc_length())
+    return _once(rows, spec.column, tokens).withColumnRenamed(spec.column, "tokens").where("size(tokens) > 0")
 
 
 def build(df: DataFrame, spec: IndexSpec) -> Index:
-    rows, measured = analyzed(df, spec, spread=True), analyzed(df, spec)
+    rows = analyzed(df, spec)
     scopes = [c for c in (TENANT, PARTITION) if c in rows.columns]
-    stats = measured.select("doc_id", *scopes, "dl").withColumn("dl_q", quantize("dl"))
-    exploded = rows.select("doc_id", *scopes, "dl", F.explode("tokens").alias("term"))
-    counted = exploded.groupBy("doc_id", *scopes, "term", "dl").agg(F.least(F.count("*"), F.lit(TF_CAP)).cast("int").alias("tf"))
-    return Index(spec, counted.withColumn("dl_q", quantize("dl")).drop("dl"), stats)
+    documents = _once(_once(rows, "tokens", F.sort_array("tokens")), "dl", doc_length()).withColumn("dl_q", quantize("dl"))
+    return Index(spec, _postings(documents, scopes), documents.select("doc_id", *scopes, "dl", "dl_q"), documents=documents)

@@ -62,7 +62,7 @@ def score_postings(index: Index, terms: DataFrame, names: list[str] | None = Non
     def with_terms(rows: DataFrame) -> DataFrame:
         return rows.where(F.col("term").isin(names)) if names is not None else rows.join(terms.select("term").distinct(), "term", "left_semi")
 
-    matching = with_terms(index.postings)
+    matching = with_terms(index.postings) if names is None else index.matching(names)
     rows = matching if postings is None else with_terms(postings)
     df = matching.groupBy(*keys, "term").agg(F.count("*").alias("df"))
     if keys:
@@ -113,7 +113,7 @@ def search(index: Index, query: str | Bm25Query, k: int | None = 10, offset: int
 
 
 def _within(index: Index, column: str, value) -> Index:
-    return Index(index.spec, index.postings.where(F.col(column) == value), index.doc_stats.where(F.col(column) == value))
+    return index.only(lambda rows: rows.where(F.col(column) == value))
 
 
 def search_batch(index: Index, queries: DataFrame, k: int = 10, language: str | None = None, scope: list[str] | None = None, k1: float | None = None, b: float | None = None) -> DataFrame:

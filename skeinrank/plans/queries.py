@@ -135,7 +135,7 @@ def _filtered(lang: str, before: bool) -> Query:
         ids = _documents(s, d).where(F.col("lang") == lang).select("doc_id")
         terms, names = literal_terms(index, [(0, TWO)])
         if before:
-            return ranked(score_postings(index, terms, names, postings=index.postings.join(ids, "doc_id", "left_semi")), 10)
+            return ranked(score_postings(index, terms, names, postings=index.matching(names).join(ids, "doc_id", "left_semi")), 10)
         return ranked(score_postings(index, terms, names).join(ids, "doc_id", "left_semi"), 10)
 
     return run
@@ -206,7 +206,7 @@ def _two_segments(s: SparkSession, d: str) -> DataFrame:
     """Two segments indexed apart and searched together equal one bulk index."""
     docs = _documents(s, d)
     a, b = (build(docs.where(x), DOCS) for x in ("doc_id % 2 = 0", "doc_id % 2 = 1"))
-    return search(Index(DOCS, a.postings.unionByName(b.postings), a.doc_stats.unionByName(b.doc_stats)), TWO)
+    return search(Index(DOCS, a.postings.unionByName(b.postings), a.doc_stats.unionByName(b.doc_stats), documents=a.documents.unionByName(b.documents)), TWO)
 
 
 _add("search_delta_union", _two_segments, top(TWO))

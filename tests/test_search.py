@@ -283,3 +283,22 @@ def test_metrics(spark):
 def test_no_limit_means_every_match(spark):
     many = spark.range(120_000).select(F.col("id").alias("doc_id"), F.lit("same words").alias("content"))
     assert search(build(many, IndexSpec("i", "content", "simple")), "same", k=None).count() == 120_000
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_inside_their_rows(spark):
+    """No hash table of (document, term) pairs, whose size would grow with a task's texts; counts, caps and lengths by brute force."""
+    texts = [*corpus(11), "a " * 255, "a " * 256, "b " * 300 + "a " * 257 + "c", "", None, "É é e"]
+    i = indexed(spark, texts)
+    plan = plan_of(i.postings)
+    assert "HashAggregate" not in plan and plan.count("regexp_extract_all") == 1
+    tf = {d: {t: min(n, 255) for t, n in Counter((x or "").lower().split()).items()} for d, x in enumerate(texts, 1)}
+    dl = {d: sum(c.values()) for d, c in tf.items() if c}
+    got = i.postings.collect()
+    assert sorted((r["doc_id"], r["term"], r["tf"]) for r in got) == sorted((d, t, n) for d, c in tf.items() for t, n in c.items())
+    assert all(r["dl_q"] == quantize_int(dl[r["doc_id"]]) for r in got)
+    assert {r["doc_id"]: r["dl"] for r in i.doc_stats.collect()} == dl
+    assert sorted(i.matching(["a", "é"]).collect()) == sorted(r for r in got if r["term"] in ("a", "é"))
