@@ -302,3 +302,19 @@ def test_terms_are_counted_inside_their_rows(spark):
     assert all(r["dl_q"] == quantize_int(dl[r["doc_id"]]) for r in got)
     assert {r["doc_id"]: r["dl"] for r in i.doc_stats.collect()} == dl
     assert sorted(i.matching(["a", "é"]).collect()) == sorted(r for r in got if r["term"] in ("a", "é"))
+
+
+def test_sql_function_shuffles_scores_only(spark):
+    """No sort-merge join: postings stay where they are, whatever size is expected of the query's terms."""
+    from skeinrank.plans.sql_surface import register
+
+    i = indexed(spark, corpus(12))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        register(i, "shuffled")
+        found = spark.sql("SELECT * FROM shuffled_search('a b c', 10)")
+        assert "SortMergeJoin" not in plan_of(found)
+        assert [tuple(r) for r in found.collect()] == [tuple(r) for r in search(i, "a b c", k=10).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
