@@ -43,7 +43,7 @@ def tokens_of(df: DataFrame, column: str, config: str | None) -> Column:
     raise ValueError(f'column "{column}" has type {kind.simpleString()}: only text, array<string> and map<string,int> can be indexed')
 
 
-#: Smaller tables (bytes, as stored) may be one row group, which only one task reads: their texts are dealt out first.
+#: Smaller tables (bytes, as the plan puts it) may be one row group, which only one task reads: their texts are dealt out first.
 SPREAD_BYTES = 64_000_000
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.analysis import LITERAL, analyzer
 from ..functions.scoring import DIGITS, idf, operator_value, term_weight
 from ..types import Bm25Query
+from .batch import ranked_batch
 from .index import TENANT, Index
 
 #: A caller's query of so many terms is written into the plan: its terms reach the scan of the postings, and what
@@ -117,8 +118,13 @@ def _within(index: Index, column: str, value) -> Index:
 
 
 def search_batch(index: Index, queries: DataFrame, k: int = 10, language: str | None = None, scope: list[str] | None = None, k1: float | None = None, b: float | None = None) -> DataFrame:
-    """(query_id, rank, doc_id, score) of the k best documents of each query (query_id, query_text) in one plan."""
+    """(query_id, rank, doc_id, score) of the k best documents of each query (query_id, query_text), all queries together.
+
+    Where texts are at hand and the batch isn't too large for a task, it is ranked at once, by :mod:`.batch`.
+    """
     terms = query_terms(queries, language or index.spec.text_config or "english")
+    if not scope and (found := ranked_batch(index, terms, k, index.spec.k1 if k1 is None else k1, index.spec.b if b is None else b)) is not None:
+        return found
     scored = score_postings(index, terms, None, scope, k1, b).withColumn("score", F.round(operator_value(F.col("score")), DIGITS))
     order = Window.partitionBy("query_id").orderBy("score", "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -227,16 +227,20 @@ _add("search_pages", lambda s, d: search(build(table(s, d, "pages").select("page
 _REL = "rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-def _qrels(s: SparkSession, d: str) -> DataFrame:
-    """Found from the ranking's own candidates: whole-item containment is checked on rows that share all of its terms' best ranks."""
-    near = search_batch(_index(s, d), _benchmark(s, d), 10).select("query_id", "doc_id")
-    texts = near.join(_benchmark(s, d), "query_id").join(_documents(s, d).select("doc_id", "text"), "doc_id")
+def _qrels(s: SparkSession, d: str, ranking: DataFrame) -> DataFrame:
+    """Found from the ranking's own candidates: whole-item containment is checked on rows that share all of its terms' best ranks.
+
+    They are k for each query at most, so they go to where the documents are.
+    """
+    near = ranking.select("query_id", "doc_id").join(_benchmark(s, d), "query_id")
+    texts = _documents(s, d).select("doc_id", "text").join(F.broadcast(near), "doc_id")
     return texts.where(F.col("text").contains(F.col("query_text"))).select("query_id", "doc_id", F.lit(1).alias("relevance"))
 
 
 def _quality(kind: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        ranking, qrels = search_batch(_index(s, d), _benchmark(s, d), 10), _qrels(s, d)
+        ranking = search_batch(_index(s, d), _benchmark(s, d), 10)
+        qrels = _qrels(s, d, ranking)
         found = metrics.precision_at_k(ranking, qrels) if kind == "precision" else metrics.reciprocal_rank(ranking, qrels)
         return found.agg(F.round(F.avg("precision" if kind == "precision" else "rr"), DIGITS).alias(f"mean_{kind}"))
 

@@ -318,3 +318,45 @@ def test_sql_function_shuffles_scores_only(spark):
         assert [tuple(r) for r in found.collect()] == [tuple(r) for r in search(i, "a b c", k=10).collect()]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("held", [7, 200_000])
+def test_batch_keeps_the_best_in_its_tasks(spark, monkeypatch, held):
+    """Ties, copies and small pieces: the same ranking as by the joins that larger batches take; no scores are shuffled."""
+    from dataclasses import replace
+
+    from skeinrank.operators import batch
+
+    calls, best = [], batch._best
+    texts = [*corpus(13), *["a b c d"] * 40, "", None, "a " * 400, *corpus(14)]
+    i = indexed(spark, texts)
+    queries = spark.createDataFrame([(1, "a b"), (2, "c c d"), (None, "p"), (4, "zz"), (5, "")], "query_id long, query_text string")
+    for name in ("CELLS", "MATCHES", "HELD"):
+        monkeypatch.setattr(batch, name, held)
+    monkeypatch.setattr(batch, "_best", lambda *x: calls.append(x) or best(*x))
+    for k in (1, 4, 100):
+        got = {tuple(r) for r in search_batch(i, queries, k).collect()}
+        assert len(calls) == 1 and got == {tuple(r) for r in search_batch(replace(i, documents=None), queries, k).collect()}
+        assert len(calls) == 1 and len([r for r in got if r[0] is None]) == min(k, sum("p" in (t or "") for t in texts))
+        calls.clear()
+    monkeypatch.setattr(batch, "MOST_RESULTS", 1)
+    assert {tuple(r) for r in search_batch(i, queries, 100).collect()} == got and not calls
+
+
+def test_batch_pieces_choose_alike():
+    """The worker's part alone, in small pieces, with many equal scores."""
+    import numpy as np
+    import pyarrow as pa
+
+    from skeinrank.operators import batch
+
+    r = random.Random(5)
+    docs = [sorted(r.choice("abcdef") for _ in range(r.choice((0, 1, 2, 4)))) for _ in range(300)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(docs, pa.list_(pa.string())), pa.array(map(len, docs), pa.int64())], names=["doc_id", "tokens", "dl_q"])
+    terms = batch.Terms.of([(0, "a", 1), (0, "b", 2), (1, "c", 1), (1, "x", 1)], 2)
+    (got,) = batch._best(terms, np.array([0.5, 0.7, 0.9, 0.0]), 2.0, 1.2, 0.75, 5)(iter([rows]))
+    want = []
+    for q, weights in enumerate(({"a": 0.5, "b": 1.4}, {"c": 0.9})):
+        scores = [(-round(sum(w * d.count(t) * 2.2 / (d.count(t) + 1.2 * (0.25 + 0.75 * len(d) / 2)) for t, w in weights.items()), 6), i) for i, d in enumerate(docs)]
+        want += [(q, i) for s, i in sorted(scores)[:5] if s < 0]
+    assert set(want) <= set(zip(got["q"].to_pylist(), got["doc_id"].to_pylist(), strict=True)) and got.num_rows < 100
