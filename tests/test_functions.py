@@ -1,8 +1,9 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from skeinrank.functions import stemmer, stemmers
+from skeinrank.functions import analysis, stemmer, stemmers
 from skeinrank.functions.analysis import language_terms
 from skeinrank.functions.fieldnorm import quantize, quantize_int
 from skeinrank.functions.scoring import idf_value, weight_value
@@ -82,3 +83,11 @@ def test_other_stems(language, pairs):
 def test_french_compounds():
     terms = language_terms("french", "Le renard brun rapide saute par-dessus le chien", {})
     assert terms == ["renard", "brun", "rapid", "saut", "par-dessus", "dessus", "chien"]
+
+
+def test_stop_words_are_looked_up_in_a_set(spark):
+    """Not by comparing each word with the whole list."""
+    df = spark.createDataFrame([(1, "The cat and THE hat, of a king"), (2, None), (3, "the the")], "doc_id long, text string").select("doc_id", analysis.analyzer("english_stop")(F.col("text")).alias("t"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan.upper() and "array_contains" not in plan
+    assert {r["doc_id"]: r["t"] for r in df.collect()} == {1: ["cat", "hat", "king"], 2: None, 3: []}
